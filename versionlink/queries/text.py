@@ -132,8 +132,8 @@ def lines_without_comments(spark: SparkSession, folder: str) -> DataFrame:
 @query("line_tokens", f"""
   with {fx.LINES},
   t as (select doc_id, line, regexp_replace(trim(regexp_replace(regexp_replace(code,'//[^\\n]*',''),'\\s+',' ','g')),'^\\s+|\\s+$','','g') c from lines),
-  w as (select doc_id, line, unnest(string_split(c,' ')) word, generate_subscripts(string_split(c,' '),1) at from t)
-  select doc_id, line, word, row_number() over (partition by doc_id,line,word order by at) k, (at-1)::bigint at from w""")
+  w as (select doc_id, line, unnest(string_split(c,' ')) word, generate_subscripts(string_split(c,' '),1) p from t)
+  select doc_id, line, word, row_number() over (partition by doc_id,line,word order by p) k, (p-1)::bigint "at" from w""")
 def line_tokens(spark: SparkSession, folder: str) -> DataFrame:
     rows = fx.lines(spark, folder).select("doc_id", "line", F.posexplode(text.words(text.without_line_comment(F.col("code")))).alias("at", "word"))
     w = Window.partitionBy("doc_id", "line", "word").orderBy("at")
@@ -283,7 +283,7 @@ def log_functions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 INFO = f"""
-  info as (select concat(func, case when fid%3=0 then concat('/',fid%5) else '' end) func, namespace, basename, parameters, extension,
+  info as (select concat(replace(func,'#','-'), case when fid%3=0 then concat('/',fid%5) else '' end) func, namespace, basename, replace(parameters,'#','-') parameters, extension,
                   path, line, fid from funcs)"""
 
 
@@ -299,8 +299,9 @@ def log_info(spark: SparkSession, folder: str) -> DataFrame:
     fid = F.col("fid")
     chunk = F.when(fid % 3 == 0, F.concat(F.lit("/"), (fid % 5).cast("string"))).otherwise("")
     dotted = F.concat(F.lit("x/./../"), "path")
+    plain = lambda c: F.replace(c, F.lit("#"), F.lit("-"))  # the mark splits fields
     info = old.unionByName(new).select(
-        F.concat("func", chunk).alias("func"), "namespace", "basename", "parameters", "extension",
+        F.concat(plain("func"), chunk).alias("func"), "namespace", "basename", plain("parameters").alias("parameters"), "extension",
         dotted.alias("file"), "line", fid.alias("column"), fid.cast("string").alias("id"),
         (fid * 7).cast("string").alias("hash"), F.lit("4").alias("nblocks"))
     path = scratch(spark)
