@@ -24,15 +24,14 @@ def edit_fraction(a, b) -> Column:
     """Edit distance / longer length, 0 for two empty texts."""
     a, b = _col(a), _col(b)
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(
-        F.levenshtein(a, b).cast("double") / longest
-    )
+    return F.when(a == b, F.lit(0.0)).otherwise(F.levenshtein(a, b).cast("double") / longest)
 
 
 def overlap_length(a, b) -> Column:
     """(len a + len b - edit distance) // 2, the length two texts share."""
     a, b = _col(a), _col(b)
-    return F.floor((F.length(a) + F.length(b) - F.levenshtein(a, b)) / 2).cast("bigint")
+    shared = F.floor((F.length(a) + F.length(b) - F.levenshtein(a, b)) / 2)
+    return F.when(a == b, F.length(a)).otherwise(shared).cast("bigint")
 
 
 def length_closeness(a, b) -> Column:

@@ -14,6 +14,7 @@ from versionlink.operators.pairing import block_join
 from versionlink.session import settle, union_all
 
 GRAM = 2
+SMALL_BLOCK = 10_000
 
 
 def _similarity(a: Column, b: Column, least: Column | None = None) -> Column:
@@ -89,51 +90,58 @@ def closest(left: DataFrame, right: DataFrame, block: list[str], l: str, r: str,
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], l: str, r: str,
-                  at_least: float) -> DataFrame:
+                  at_least: float, small_block: int = SMALL_BLOCK) -> DataFrame:
     """Every value pair of a block with edit similarity of ``at_least`` or more.
 
-    Texts within d edits share a two-letter gram among the 2d+1 rarest of each
-    (d is the most edits the bound allows for a text's length), so pairs are met
-    by an equi-join on those rare grams. From 0.8 on every text has that many
+    Blocks of up to ``small_block`` value pairs are compared directly. In larger
+    ones pairs are met by an equi-join on rare grams: texts within d edits share
+    a two-letter gram among the 2d+1 rarest of each (d is the most edits the
+    bound allows for a text's length). From 0.8 on every text has that many
     grams, and the filter loses nothing.
     """
     if at_least < 0.8:
         raise ValueError("the gram filter is exact from 0.8 on")
-    own_l = settle(left.select(*block, l).distinct())
-    own_r = settle(right.select(*block, r).distinct())
-    spread = lambda side, col: side.select(*block, F.col(col).alias("__text"), F.explode(_grams(F.col(col))).alias("__gram"))
-    grams_l, grams_r = spread(own_l, l), spread(own_r, r)
-    counts = grams_l.unionByName(grams_r).groupBy("__gram").agg(F.count("*").alias("__n"))
-    edits = F.floor(F.lit((1 - at_least) / at_least) * F.length("__text") + 1e-9)
-
-    def rare(grams: DataFrame, col: str) -> DataFrame:
-        # one list per text, no longer than the text
-        lists = grams.join(counts, "__gram").groupBy(*block, "__text").agg(
-            F.array_sort(F.collect_list(F.struct("__n", "__gram"))).alias("__list")
-        )
-        kept = F.slice(F.col("__list"), F.lit(1), (edits * GRAM + 1).cast("int"))
-        return lists.select(*block, F.col("__text").alias(col), F.explode(kept).alias("__g")).select(
-            *block, col, "__g.__gram"
-        )
-
-    near = block_join(rare(grams_l, l), rare(grams_r, r), [*block, "__gram"])
-    shorter, longer = F.least(F.length(l), F.length(r)), F.greatest(F.length(l), F.length(r))
-    near = near.where((shorter >= longer * at_least) & (F.col(l) != F.col(r))).select(*block, l, r).distinct()
-    near = near.withColumn("similarity", _similarity(F.col(l), F.col(r), F.lit(at_least)))
-    same = own_l.join(own_r.withColumn(l, F.col(r)), [*block, l]).select(
-        *block, l, r, F.lit(1.0).alias("similarity")
+    # the hash only names a text in the gram join; texts that share one are all compared
+    own_l = settle(left.select(*block, l, F.xxhash64(l).alias("__l"), F.length(l).alias("__ll")).distinct())
+    own_r = settle(right.select(*block, r, F.xxhash64(r).alias("__r"), F.length(r).alias("__rl")).distinct())
+    size = lambda side, out: side.groupBy(*block).agg(F.count("*").cast("double").alias(out))
+    large = settle(
+        size(own_l, "a").join(size(own_r, "b"), block).where(F.col("a") * F.col("b") > small_block).select(*block)
     )
-    return near.where(F.col("similarity") >= at_least).unionByName(same)
-
-
-def _grams(text: Column) -> Column:
-    """Two-letter grams with their occurrence number, as (gram, n) structs."""
-    grams = F.when(
-        F.length(text) >= GRAM,
-        F.transform(F.sequence(F.lit(1), F.length(text) - GRAM + 1), lambda i: F.substr(text, i, F.lit(GRAM))),
-    ).otherwise(F.array().cast("array<string>"))
-    # k-th occurrence: position among the sorted grams minus position of the first equal one
-    ordered = F.array_sort(grams)
-    return F.transform(
-        ordered, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(ordered, g)).alias("k"))
+    shorter, longer = F.least("__ll", "__rl"), F.greatest("__ll", "__rl")
+    fits = shorter >= longer * at_least
+    small = lambda side: side.join(large, block, "left_anti")
+    near = block_join(small(own_l), small(own_r), block).where(fits)
+    if not large.isEmpty():
+        big_l, big_r = own_l.join(large, block, "left_semi"), own_r.join(large, block, "left_semi")
+        texts = big_l.select(F.col(l).alias("__text")).unionByName(big_r.select(F.col(r).alias("__text"))).distinct()
+        rare = settle(_rare_grams(texts, at_least))
+        tagged = lambda side, text, *c: side.join(rare.withColumnRenamed("__text", text), text).select(
+            *block, *c, "__gram", "__k")
+        met = block_join(tagged(big_l, l, "__l", "__ll"), tagged(big_r, r, "__r", "__rl"), [*block, "__gram", "__k"])
+        met = met.where(fits).select(*block, "__l", "__r").distinct()
+        met = met.join(big_l, [*block, "__l"]).join(big_r, [*block, "__r"])
+        near = near.select(*block, l, r).unionByName(met.select(*block, l, r))
+    least = F.lit(at_least)
+    similar = F.when(F.col(l) == F.col(r), F.lit(1.0)).otherwise(_similarity(F.col(l), F.col(r), least))
+    return near.select(*block, l, r, similar.alias("similarity")).where(F.col("similarity") >= at_least)
+
+
+def _rare_grams(texts: DataFrame, at_least: float) -> DataFrame:
+    """The rarest two-letter grams of each text, as many as its edits could break, plus one.
+
+    The k-th equal gram of a text is a gram of its own.
+    """
+    starts = F.sequence(F.lit(1), F.length("__text") - GRAM + 1)
+    grams = texts.where(F.length("__text") >= GRAM).select("__text", F.explode(starts).alias("__at"))
+    grams = grams.select("__text", F.substr("__text", "__at", F.lit(GRAM)).alias("__gram"))
+    counted = grams.groupBy("__text", "__gram").agg(F.count("*").alias("__n"))
+    counted = settle(counted.select("__text", "__gram", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__k")))
+    spread = counted.groupBy("__gram", "__k").agg(F.count("*").alias("__texts"))
+    # one list per text, no longer than the text
+    ordered = counted.join(spread, ["__gram", "__k"]).groupBy("__text").agg(
+        F.array_sort(F.collect_list(F.struct("__texts", "__gram", "__k"))).alias("__list")
     )
+    edits = F.floor(F.lit((1 - at_least) / at_least) * F.length("__text") + 1e-9)
+    kept = F.slice(F.col("__list"), F.lit(1), (edits * GRAM + 1).cast("int"))
+    return ordered.select("__text", F.explode(kept).alias("__g")).select("__text", "__g.__gram", "__g.__k")

@@ -26,4 +26,8 @@ def block_join(old: DataFrame, new: DataFrame, block: list[str], tile_rows: int
     spread_old = old.join(tiles, block).withColumn(
         "__tile", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))
     ).drop("__tiles")
-    return spread_old.join(spread_new, [*block, "__tile"]).drop("__tile")
+    # Pairs cost far more than their bytes show, so the tasks are not merged by size.
+    spark = old.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    place = lambda side: side.repartition(tasks, *block, "__tile")
+    return place(spread_old).join(place(spread_new), [*block, "__tile"]).drop("__tile")

@@ -160,21 +160,25 @@ NAMED_PATHS = """
   pm as (select o.path old_path, n.path new_path from (select distinct path from old_src) o join (select distinct path from new_src) n
          on n.path=concat('new/',o.path))"""
 
-UNIQUE = """
+_UNIQUE = """
   ou as (select path, code, min(line) line from old_src group by path, code having count(*)=1),
   nu as (select path, code, min(line) line from new_src group by path, code having count(*)=1),
   m as materialized (select pm.old_path, o.line old_line, pm.new_path, n.line new_line
-        from pm join ou o on o.path=old_path join nu n on n.path=new_path and n.code=o.code)"""
+        from pm join ou o on o.path=old_path join nu n on n.path=new_path and n.code=o.code{only})"""
 
-BASE = f"{fx.EDITED_LINES}, {NAMED_PATHS}, {UNIQUE}"
+LONG = 60  # in some queries only lines longer than this serve as anchors
+BASE, LONG_BASE = (
+    f"{fx.EDITED_LINES}, {NAMED_PATHS}, {_UNIQUE.format(only=only)}" for only in ("", f" and length(o.code)>{LONG}")
+)
 
 
-def _base(spark: SparkSession, folder: str):
+def _base(spark: SparkSession, folder: str, longer: int = -1):
     """Edited lines, the path links, and the links of lines unique in their paths."""
     old, new = fx.edited_lines(spark, folder)
     old, new = settle(old), settle(new.drop("true_old_line"))
     path_map = settle(paths.link_paths_by_name(old.select("path"), new.select("path")))
-    links = settle(ln.equal_unique_lines(old, new, path_map))
+    long = lambda src: src.where(F.length("code") > longer)
+    links = settle(ln.equal_unique_lines(long(old), long(new), path_map))
     return old, new, path_map, links, ln.largest_line(old, new)
 
 
@@ -205,7 +209,7 @@ def anchors(s: str, o: str) -> str:
 
 
 INSIDE = "old_line>old_line_prev and old_line<old_line_next and new_line>new_line_prev and new_line<new_line_next"
-BOUNDS = f"{BASE}, {anchors('old', 'new')}, {anchors('new', 'old')}"
+BOUNDS, LONG_BOUNDS = (f"{base}, {anchors('old', 'new')}, {anchors('new', 'old')}" for base in (BASE, LONG_BASE))
 
 
 @query("line_bounds_tight", f"with {BOUNDS} select * from tight_old")
@@ -227,7 +231,7 @@ def line_bounds_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("line_equal_between", f"""
-  with {BASE}, {anchors('old', 'new')}, {anchors('new', 'old')},
+  with {LONG_BOUNDS},
   oo as (select path old_path, code, min(line) old_line, coalesce(min(pl),0) new_line_prev, coalesce(min(nl),9223372036854775807) new_line_next
          from g_old where here is null group by 1,2 having count(*)=1),
   nn as (select path new_path, code, min(line) new_line, coalesce(min(pl),0) old_line_prev, coalesce(min(nl),9223372036854775807) old_line_next
@@ -235,7 +239,7 @@ def line_bounds_ranked(spark: SparkSession, folder: str) -> DataFrame:
   p as (select old_path, old_line, new_path, new_line from pm join oo using (old_path) join nn using (new_path, code) where {INSIDE})
   select * exclude (a,b) from (select *, count(*) over (partition by old_path,old_line) a, count(*) over (partition by new_path,new_line) b from p) where a=1 and b=1""")
 def line_equal_between(spark: SparkSession, folder: str) -> DataFrame:
-    old, new, path_map, links, top = _base(spark, folder)
+    old, new, path_map, links, top = _base(spark, folder, LONG)
     return ln.equal_lines_between(old, new, path_map, links, top)
 
 
@@ -338,10 +342,10 @@ def line_same_code_loose(spark: SparkSession, folder: str) -> DataFrame:
     return function_lines.same_code_inside(loose_bounds(old, "old", "new", links, top), loose_bounds(new, "new", "old", links, top), top)
 
 
-@query("line_same_code_anywhere", f"with {BOUNDS} " + alone(
+@query("line_same_code_anywhere", f"with {LONG_BOUNDS} " + alone(
     "select distinct old_path,old_line,new_path,new_line from loose_old join loose_new using (old_path,new_path,code)"))
 def line_same_code_anywhere(spark: SparkSession, folder: str) -> DataFrame:
-    old, new, _, links, top = _base(spark, folder)
+    old, new, _, links, top = _base(spark, folder, LONG)
     return function_lines.same_code_anywhere(loose_bounds(old, "old", "new", links, top), loose_bounds(new, "new", "old", links, top))
 
 
