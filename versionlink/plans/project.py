@@ -78,12 +78,13 @@ def nearest_calls_in_file(old: DataFrame, new: DataFrame, block: str = "file", s
     """One-to-one links by call-name distance inside a file block, nearest first.
 
     Tables have ``fid, func, blocks`` and the block column. With ``same_size``
-    only functions of the same number of blocks meet.
+    only functions of the same number of blocks meet. Equally near pairs go by
+    their names (last first), so the order is total.
     """
     keys = [block, "blocks"] if same_size else [block]
     def score(a, b) -> Column:
         near = call_distance(a("name"), b("name"))
-        return F.struct((-near["distance"]).alias("distance"), (-near["tie"]).alias("tie"))
+        return F.struct((-near["distance"]).alias("distance"), (-near["tie"]).alias("tie"), a("name").alias("a"), b("name").alias("b"))
 
     named = lambda side: side.withColumn("name", F.col("func"))
     return rounds_of_ordered_best(named(old), named(new), keys, ["name"], score, None, True, max_rounds)
@@ -98,10 +99,10 @@ def nearest_parts_in_file(old: DataFrame, new: DataFrame, max_rounds: int | None
     def score(a, b) -> Column:
         near = name_distance(a("namespace"), b("namespace"), a("basename"), b("basename"),
                              a("parameters"), b("parameters"), a("extension"), b("extension"))
-        return F.struct(*[(-near[c]).alias(c) for c in ("name", "params", "suffix")])
+        return F.struct(*[(-near[c]).alias(c) for c in ("name", "params", "suffix")], a("func").alias("a"), b("func").alias("b"))
 
     return rounds_of_ordered_best(
-        old, new, ["stem"], ["namespace", "basename", "parameters", "extension"], score, None, True, max_rounds
+        old, new, ["stem"], ["func", "namespace", "basename", "parameters", "extension"], score, None, True, max_rounds
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from versionlink.functions.text import file_name
 from versionlink.operators.assign import Tier, unique_mutual_best
@@ -95,7 +95,8 @@ def link_by_votes(spark: SparkSession, folder: str) -> DataFrame:
 OPCODES = ["mov", "movl", "movq", "mul", "jmp", "je", "jne", "add", "addl", "and"]
 
 ITEMS = f"""
-  it as (select l_orderkey fid, l_orderkey//2 k, (l_linenumber//3)::bigint bid, (l_partkey%3)::bigint line, l_orderkey*100+l_linenumber*10+l_suppkey%10 idx,
+  it as (select l_orderkey fid, l_orderkey//2 k, (l_linenumber//3)::bigint bid, (l_partkey%3)::bigint line,
+           l_orderkey*1000+row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey) idx,
            (['{"','".join(OPCODES)}'])[l_partkey%{len(OPCODES)}+1] opcode,
            case when l_partkey%{len(OPCODES)} between 4 and 6 then concat('<f',l_suppkey%4,'+0x',lower(to_hex(l_partkey)),'>') else concat('%r',l_suppkey%9) end operand from lineitem),
   di as (select distinct fid, k, bid, line, idx, opcode, operand from it),
@@ -113,17 +114,18 @@ ITEMS = f"""
 def _item_candidates(spark: SparkSession, folder: str) -> DataFrame:
     line_items = fx.table(spark, folder, "lineitem")
     n = F.col("l_partkey") % len(OPCODES)
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     code = F.element_at(F.array(*[F.lit(o) for o in OPCODES]), (n + 1).cast("int"))
     jump = F.concat(F.lit("<f"), (F.col("l_suppkey") % 4).cast("string"), F.lit("+0x"), F.lower(F.hex("l_partkey")), F.lit(">"))
     operand = F.when(n.between(4, 6), jump).otherwise(F.concat(F.lit("%r"), (F.col("l_suppkey") % 9).cast("string")))
     rows = line_items.select(
         F.col("l_orderkey").alias("fid"), F.expr("l_linenumber div 3").alias("bid"), F.lit("f").alias("path"),
-        (F.col("l_partkey") % 3).alias("line"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("address"),
+        (F.col("l_partkey") % 3).alias("line"), (F.col("l_orderkey") * 1000 + F.row_number().over(place)).alias("address"),
         F.concat(code, F.lit("\t"), operand).alias("instruction"))
     old, new = _halves(settle(rows))
-    place = lambda side, s: side.select(F.col("fid").alias(f"{s}_fid"), F.col("path").alias(f"{s}_path"), F.col("line").alias(f"{s}_line"),
+    spot = lambda side, s: side.select(F.col("fid").alias(f"{s}_fid"), F.col("path").alias(f"{s}_path"), F.col("line").alias(f"{s}_line"),
                                         F.expr("fid div 2").alias("k"), F.col("line").alias("on")).distinct()
-    links = place(old, "old").join(place(new, "new"), ["k", "on"]).drop("k", "on")
+    links = spot(old, "old").join(spot(new, "new"), ["k", "on"]).drop("k", "on")
     # lines of different functions are different places here
     named = lambda side: side.withColumn("path", F.expr("cast(fid div 2 as string)"))
     links = links.withColumn("old_path", F.expr("cast(old_fid div 2 as string)")).withColumn("new_path", F.col("old_path"))
@@ -223,7 +225,8 @@ def cross_map_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("reachable_items", f"""
   with {fx.FUNCTIONS},
-  linked as (select distinct n.path from old_f o join new_f n on n.basename=o.basename and n.namespace=o.namespace),
+  cand as (select o.path op, n.path np, {edit('o.path', 'n.path')} s from (select distinct path, basename from old_f) o join (select distinct path, basename from new_f) n using (basename)),
+  linked as (select min(np) path from (select *, max(s) over (partition by op) m from cand) where s=m group by op),
   fm as (select fid+1 fid from old_f where profiled)
   select fid, path from new_f where fid in (select fid from fm) or fid in (select fid from new_f where path in (select path from linked))""")
 def reachable_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -134,7 +134,7 @@ def function_cascade(spark: SparkSession, folder: str) -> DataFrame:
 
 CALLS = f"""
   pairs as materialized (
-    select old_fid, old_func, new_fid, new_func, rank() over (order by d, 2*d-length(old_func)-length(c)) rank
+    select old_fid, old_func, new_fid, new_func, rank() over (order by d, 2*d-length(old_func)-length(c), old_func desc, new_func desc) rank
     from (select *, levenshtein(old_func,c) d from (
       select o.fid old_fid, o.func old_func, n.fid new_fid, n.func new_func,
              case when o.func like '%)' then n.func else split_part(n.func,'(',1) end c
