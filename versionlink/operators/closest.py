@@ -106,7 +106,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], l: str, r
     own_r = settle(right.select(*block, r, F.xxhash64(r).alias("__r"), F.length(r).alias("__rl")).distinct())
     size = lambda side, out: side.groupBy(*block).agg(F.count("*").cast("double").alias(out))
     large = settle(
-        size(own_l, "a").join(size(own_r, "b"), block).where(F.col("a") * F.col("b") > small_block).select(*block)
+        size(own_l, "__a").join(size(own_r, "__b"), block).where(F.col("__a") * F.col("__b") > small_block).select(*block)
     )
     shorter, longer = F.least("__ll", "__rl"), F.greatest("__ll", "__rl")
     fits = shorter >= longer * at_least

@@ -107,8 +107,8 @@ def _result(old: DataFrame) -> DataFrame:
 def _pair_count(old: DataFrame, new: DataFrame, block: list[str]) -> int:
     """Upper bound of the class pairs, from the block sizes alone."""
     sizes = lambda side, name: side.groupBy(*block).agg(F.count("*").cast("double").alias(name))
-    both = sizes(old, "a").join(sizes(new, "b"), block)
-    return both.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0))).first()[0]
+    both = sizes(old, "__a").join(sizes(new, "__b"), block)
+    return both.agg(F.coalesce(F.sum(F.col("__a") * F.col("__b")), F.lit(0.0))).first()[0]
 
 
 def _active(rows: DataFrame, pairs: DataFrame, name: str, aliases: bool) -> DataFrame:
