@@ -19,15 +19,25 @@ from versionlink.session import empty_like, settle, union_all
 Field = Callable[[str], Column]
 
 
+def _classes(rows: DataFrame, block: list[str], compared: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, rows): the distinct compared values under a short id, and each row with its class."""
+    values = list(dict.fromkeys([*block, *compared]))
+    # the ids are fixed by the checkpoint
+    classes = settle(rows.select(*values).distinct().withColumn(name, F.monotonically_increasing_id()))
+    named = classes.withColumnsRenamed({v: f"__of_{v}" for v in values})
+    same = [F.col(v).eqNullSafe(F.col(f"__of_{v}")) for v in values]
+    return classes, rows.join(named, same).select("fid", "func", name)
+
+
 def class_pairs(old: DataFrame, new: DataFrame, block: list[str], compared: list[str],
                 score: Callable[[Field, Field], Column],
                 keep: Callable[[Field, Field], Column] | None = None) -> DataFrame:
     """(old_class, new_class, score) for every pair of classes of one block."""
-    left = old.select(*block, F.struct(*block, *compared).alias("old_class")).distinct()
-    right = new.select(*block, F.struct(*block, *compared).alias("new_class")).distinct()
-    pairs = block_join(left, right, block)
-    a: Field = lambda name: F.col("old_class")[name]
-    b: Field = lambda name: F.col("new_class")[name]
+    values = list(dict.fromkeys([*block, *compared]))
+    pack = lambda side, name, out: side.select(*block, name, F.struct(*values).alias(out))
+    pairs = block_join(pack(old, "old_class", "__a"), pack(new, "new_class", "__b"), block)
+    a: Field = lambda name: F.col("__a")[name]
+    b: Field = lambda name: F.col("__b")[name]
     if keep is not None:
         pairs = pairs.where(keep(a, b))
     return pairs.select("old_class", "new_class", score(a, b).alias("score"))
@@ -51,16 +61,23 @@ def rounds_of_ordered_best(old: DataFrame, new: DataFrame, block: list[str], com
     there are up to ``stored_pairs`` of them; beyond that they are formed again
     in each round from the classes still open, so nothing quadratic is kept.
     """
-    as_rows = lambda side, name: side.select(
-        "fid", "func", *block, *compared, F.struct(*block, *compared).alias(name)
-    )
-    old_rows, new_rows = as_rows(old, "old_class"), as_rows(new, "new_class")
-    score_all = lambda o, n: class_pairs(o, n, block, compared, score, keep)
+    pair_count = _pair_count(old, new, block)
+    if not pair_count:
+        return _result(old)
+    old_classes, old_rows = _classes(old, block, compared, "old_class")
+    new_classes, new_rows = _classes(new, block, compared, "new_class")
+    old_rows, new_rows = settle(old_rows), settle(new_rows)
+
+    def score_all(live_old: DataFrame, live_new: DataFrame) -> DataFrame:
+        return class_pairs(
+            old_classes.join(live_old.select("old_class"), "old_class", "left_semi"),
+            new_classes.join(live_new.select("new_class"), "new_class", "left_semi"),
+            block, compared, score, keep,
+        )
+
     pairs = None
-    if _pair_count(old_rows, new_rows, block) <= stored_pairs:
-        pairs = settle(score_all(old_rows, new_rows))
-        if pairs.isEmpty():
-            return _result(old)
+    if pair_count <= stored_pairs:
+        pairs = settle(class_pairs(old_classes, new_classes, block, compared, score, keep))
 
     won_parts: list[DataFrame] = []
     while max_rounds is None or len(won_parts) < max_rounds:
@@ -73,8 +90,8 @@ def rounds_of_ordered_best(old: DataFrame, new: DataFrame, block: list[str], com
             live_pairs = score_all(live_old, live_new)
         else:
             live_pairs = (
-                pairs.join(live_old.select("old_class").distinct(), "old_class", "left_semi")
-                .join(live_new.select("new_class").distinct(), "new_class", "left_semi")
+                pairs.join(live_old.select("old_class"), "old_class", "left_semi")
+                .join(live_new.select("new_class"), "new_class", "left_semi")
                 if won_parts else pairs
             )
         active_old = _active(live_old, live_pairs, "old_class", aliases)

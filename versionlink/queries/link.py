@@ -128,6 +128,12 @@ for _level in [*fn.LEVELS, *fn.ROUTES[0], *fn.ROUTES[1]]:
 
 @query("function_cascade")
 def function_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """One pass over all levels."""
+    return fn.link_functions_once(*_functions(spark, folder))
+
+
+@query("function_links")
+def function_links(spark: SparkSession, folder: str) -> DataFrame:
     """All levels and passes; what is left is linked by name alone."""
     return fn.link_functions(*_functions(spark, folder))
 
