@@ -3,18 +3,106 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from versionlink.llm import minhash
+from versionlink.llm import lines, minhash, sampling
 from versionlink.llm.common import table
 from versionlink.llm.registry import QUERIES, SQL, query  # noqa: F401
 
+OP1_SQL = """
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+    (('0x' || left(md5(coalesce(doc_id::varchar, 'null')), 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+  from documents
+), d as (select *, length(bin(size)) as m from sized),
+s0 as (select source, sum(size)::bigint as source_size from d group by 1),
+s1 as (
+  select *, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight,
+    (sum(source_size) over ())::bigint * 1.5::double as total, source_size * 2.0::double as cap from s0
+), s2 as (select *, cap / weight as ratio from s1),
+s3 as (
+  select *, (total - coalesce(sum(cap) over (order by ratio, source nulls last
+      rows between unbounded preceding and 1 preceding), 0.0)) /
+    sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) >= ratio as "full"
+  from s2
+), s4 as (
+  select source, source_size, case when "full" then cap else
+    (total - sum(case when "full" then cap else 0.0 end) over ()) /
+    sum(case when "full" then 0.0 else weight end) over () * weight end as target from s3
+), c0 as (
+  select d.source, d.m, sum(d.size)::bigint as size, any_value(s4.source_size) as source_size, any_value(target) as target
+  from d join s4 on d.source is not distinct from s4.source group by 1, 2
+), c1 as (
+  select *, m::double * size as weighed,
+    coalesce(sum(size) over (partition by source order by m desc rows between unbounded preceding and 1 preceding), 0) as before,
+    sum(m::double * size) over (partition by source order by m desc rows between current row and unbounded following) as onward
+  from c0
+), c2 as (
+  select *, case when onward > 0 then (target - 2 * before) * m / onward >= 2.0 else false end as "full" from c1
+), c3 as (
+  select *, sum(case when "full" then size else 0 end) over (partition by source) as taken,
+    sum(case when "full" then 0.0 else weighed end) over (partition by source) as rest from c2
+), c4 as (
+  select *, least(greatest(case when "full" then 2.0 when rest > 0 then (target - 2 * taken) / rest * m else 0.0 end, 0.0), 2.0)
+    as expected from c3
+), c5 as (select source, m, source_size, target, size, floor(expected)::bigint as whole, expected - floor(expected) as fraction from c4),
+l as (select source, round(any_value(target) - sum(whole * size))::bigint as words_left from c5 group by 1),
+r as (
+  select d.doc_id, d.source, d.size, c5.source_size, c5.target, c5.whole, l.words_left, c5.fraction,
+    case when fraction > 0 and d.size > 0 then u * (1 - fraction) / ((1 - u) * fraction) end as q
+  from d join c5 on d.source is not distinct from c5.source and d.m = c5.m
+  join l on d.source is not distinct from l.source
+), t as (
+  select *, sum(case when q is null then 0 else size end) over (partition by source order by q nulls last, doc_id nulls last, size
+    rows between unbounded preceding and current row) as upto from r
+)
+select doc_id, size, source_size, target, source,
+  whole + case when q is not null and upto - size < words_left and upto - words_left <= words_left - (upto - size)
+    then 1 else 0 end as copies, copies * size as taken
+from t
+"""
+
+OP3_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), win as (
+  select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)
+), twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as n from win) where n > 1),
+rep as (select doc_id, count(distinct i + j) as n_repeat_words from twice, (select unnest(range(5)) as j) group by 1),
+l0 as (
+  select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line from d
+), l1 as (
+  select *, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') as w from l0
+), l2 as (
+  select doc_id, line, len(w) as n, row_number() over (partition by doc_id, line order by pos) > 1 as again,
+    len(w) < 10 and not regexp_matches(w[-1], '[.!?:;,"'')\\]}…”’»。！？]$') as short,
+    100 * len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]|[!?]{2}$'))) > 30 * len(w) as odd,
+    len(list_filter(w, lambda x: regexp_full_match(x, '[|»›>•·/–-]+') and strlen(x) < 4)) as separators,
+    regexp_matches(lower(line), 'all rights reserved|terms of use|terms of service|privacy policy|cookie policy|use of cookies|enable javascript|licensed under|lorem ipsum|click here|sign up|log in to|subscribe to') as phrase
+  from l1 where len(w) > 0
+), l3 as (
+  select doc_id, count(*) filter (again) as n_dup_lines,
+    coalesce(sum(n) filter (short or odd or (separators >= 2 and 5 * separators >= n) or phrase), 0) as lost
+  from l2 group by 1
+), a as (
+  select d.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(lost, 0) as lost
+  from d left join l3 using (doc_id) left join rep using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * lost <= 40 * n_words as kept
+from a
+"""
+
 OP10_SQL = """
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
 ), s as (
   select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end) as s from w
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end) as s from w
 ), n as (select doc_id, count(*) as n from s group by 1),
 p as (
   select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2
@@ -31,3 +119,18 @@ from documents d left join n using (doc_id) join m on m.a = d.doc_id
 @query("op10_signature_join", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op3_line_first", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pareto_mix", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampling.with_copies(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"), "source", F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
+    )
