@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlink.llm import lines, minhash, sampling
+from versionlink.llm import decontamination, lines, minhash, sampling, sharding
 from versionlink.llm.common import table
 from versionlink.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -134,3 +134,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_target").alias("target"), "source", F.col("_copies").alias("copies"),
         (F.col("_copies") * F.col("_size")).alias("taken"),
     )
+
+
+@query("op8_gram_lemma")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_differencing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
