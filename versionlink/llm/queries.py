@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlink.llm import decontamination, lines, minhash, sampling, sharding
+from versionlink.llm import decontamination, lines, minhash, repeats, sampling, sharding
 from versionlink.llm.common import table
 from versionlink.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -144,3 +144,27 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_differencing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), s as (
+  select doc_id, i, array_to_string(w[i:i + 19], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d)
+), later as (
+  select doc_id, i from (select *, row_number() over (partition by s order by doc_id, i) as n from s) where n > 1
+), gone as (select distinct doc_id, i + j as i from later, (select unnest(range(20)) as j)),
+w as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d),
+k as (
+  select w.doc_id, count(*) as n_words, count(gone.i) as n_removed,
+    string_agg(word, ' ' order by w.i) filter (gone.i is null) as kept
+  from w left join gone on gone.doc_id = w.doc_id and gone.i = w.i group by 1
+)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)
+"""
+
+
+@query("op9_cover_anchors", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
