@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlink.llm import decontamination, lines, minhash, repeats, sampling, sharding
+from versionlink.llm import decontamination, language, lines, minhash, repeats, sampling, sharding
 from versionlink.llm.common import table
 from versionlink.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -168,3 +168,8 @@ from d left join k using (doc_id)
 @query("op9_cover_anchors", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op6_hyperdimensional")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
