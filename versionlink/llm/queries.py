@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlink.llm import decontamination, language, lines, minhash, repeats, sampling, sharding
+from versionlink.llm import chat, decontamination, language, lines, minhash, repeats, sampling, sharding
 from versionlink.llm.common import table
 from versionlink.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -173,3 +173,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_hyperdimensional")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+_ESCAPED = "replace(x, '\\', '\\\\')"
+for _c in sorted(chat.CONTROLS, key=len, reverse=True):
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+OP5_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, len(list_transform([role], lambda x: {_ESCAPED})[1]) + len(list_transform([text], lambda x: {_ESCAPED})[1]) + 13 as chars
+  from t
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(len(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from e group by 1
+"""
+
+
+@query("op5_prefix_tree", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.packs(rows.unionByName(chat.probe(spark))))
