@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlink.llm import chat, decontamination, language, lines, minhash, repeats, sampling, sharding
+from versionlink.llm import chat, decontamination, language, lines, minhash, repeats, sampling, secrets, sharding
 from versionlink.llm.common import table
 from versionlink.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -199,3 +199,8 @@ from e group by 1
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.packs(rows.unionByName(chat.probe(spark))))
+
+
+@query("op2_random_field")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
