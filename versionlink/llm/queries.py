@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlink.llm import chat, decontamination, language, lines, minhash, repeats, sampling, secrets, sharding
+from versionlink.llm import chat, decontamination, language, lines, minhash, personal, repeats, sampling, secrets, sharding
 from versionlink.llm.common import table
 from versionlink.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -204,3 +204,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_random_field")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op7_context_bootstrap")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(table(spark, sf_dir, "documents"))
