@@ -20,22 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written table.
 
     The written table cuts the lineage, survives lost executors and keeps the
-    columns prunable. The shuffles behind it are not needed any more, so the
-    driver's garbage is collected for Spark's cleaner to drop their files.
+    columns prunable. What earlier steps shuffled is released first.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    release(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
-    schema = df.schema
     df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(text: str = "text", doc_id: str = "doc_id"):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import row_key, stored, text_blocks
+from versionlink.llm.common import release, row_key, stored, text_blocks
 from versionlink.llm.hashing import BASES, Words, run_hashes
 
 LENGTH = 20
@@ -252,6 +252,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = B
     anchors = places(rows.select("row", "text").mapInArrow(_anchors(length, buckets), _SENT), _repeated)
     around = rows.join(anchors, "row").select("row", "doc_id", "text", "spots")
     later = places(around.mapInArrow(_windows(length, buckets), _SENT), _not_first)
+    release(docs.sparkSession)
     return rows.join(later, "row", "left").select("row", "doc_id", "text", "spots").mapInArrow(
         _cleaned(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
