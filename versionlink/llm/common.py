@@ -13,13 +13,22 @@ from pyspark.sql import functions as F
 from versionlink.session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of long texts small; a lower setting of the session stays."""
+    now = int(spark.conf.get(BATCH_SETTING, str(BATCH_BYTES)))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nobody holds any more."""
     gc.collect()
@@ -34,6 +43,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    small_batches(spark)
     release(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -63,8 +73,3 @@ def text_blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> I
             size += len(text)
         if texts:
             yield batch.slice(first), texts
-
-
-def own_columns(df: DataFrame, *needed: str) -> DataFrame:
-    """Only the columns an operator works on, so extra ones cannot clash with its own."""
-    return df.select(*needed)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import text_blocks
+from versionlink.llm.common import small_batches, text_blocks
 from versionlink.llm.hashing import BYTE, run_hashes
 
 Q = 12
@@ -198,6 +198,7 @@ def _parts(benchmark: DataFrame) -> Iterator[Index]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_segments, edits``: the leaks only, a row per document row and item."""
+    small_batches(docs.sparkSession)
 
     def scan(part: Index):
         def run(batches):
@@ -222,6 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows in which no benchmark passage is found, with all their columns."""
+    small_batches(docs.sparkSession)
 
     def scan(rows: DataFrame, part: Index) -> DataFrame:
         def run(batches):

@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

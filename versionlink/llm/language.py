@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import text_blocks
+from versionlink.llm.common import small_batches, text_blocks
 
 WIDTH = 512
 GRAM = 3
@@ -97,6 +97,7 @@ class Space:
 
 def prototypes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Language to prototype, from all rows with ``lang`` and a letter in ``text``."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         space, held = Space(width, gram), {}
@@ -127,6 +128,7 @@ def prototypes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> dict[st
 
 def predict(docs: DataFrame, known: dict[str, np.ndarray], width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row."""
+    small_batches(docs.sparkSession)
     names = list(known)
     profiles = np.array([known[k] / np.linalg.norm(known[k]) for k in names]) if names else np.empty((0, width))
 

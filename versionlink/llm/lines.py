@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import text_blocks
+from versionlink.llm.common import small_batches, text_blocks
 from versionlink.llm.hashing import SPACE, Words
 
 LEAST_WORDS = 10
@@ -116,6 +116,7 @@ def _judge(texts: list[bytes]) -> tuple[dict[str, list], list[bytes]]:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id``, the counts and ``kept``."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch, texts in text_blocks(batches):
@@ -132,6 +133,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept rows with all their columns; ``text`` (and ``n_chars``, if there) without the removed lines."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch, texts in text_blocks(batches):

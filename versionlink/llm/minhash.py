@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import row_key, stored, text_blocks
+from versionlink.llm.common import row_key, small_batches, stored, text_blocks
 from versionlink.llm.components import components
 from versionlink.llm.hashing import Words, mix, run_hashes
 
@@ -85,6 +85,7 @@ def _signature(items: np.ndarray, coordinates: int) -> np.ndarray:
 
 def sketch(docs: DataFrame, length: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
     """``doc_id, row, n_shingles, class, signature``; ``class`` names the set (null: empty set)."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch, texts in text_blocks(batches):

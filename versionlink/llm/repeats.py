@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import release, row_key, stored, text_blocks
+from versionlink.llm.common import release, row_key, small_batches, stored, text_blocks
 from versionlink.llm.hashing import BASES, Words, run_hashes
 
 LENGTH = 20
@@ -239,6 +239,7 @@ def _cleaned(length: int):
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row ``doc_id, n_words, n_removed, kept_sha256, kept_text`` (kept words joined by one space)."""
+    small_batches(docs.sparkSession)
     if length <= PERIOD:
         raise ValueError(f"windows must be longer than the period {PERIOD}")
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
