@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versionlink.llm.common import small_batches
+
 CONTROLS = ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LEARNED = "assistant"
 PACK = 1 << 16
-_CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)))
+_CONTROL = re.compile("(?=" + "|".join(map(re.escape, CONTROLS)) + ")(.)", re.S)  # also overlapping ones
 _TURN = re.compile(r"<\|((?:[^\\|]|\\.|\|(?!>))*)\|>\n(.*?)<\|end\|>\n", re.S)
 
 _SPAN = "array<struct<start:int,end:int>>"
@@ -47,7 +49,7 @@ PACKS = (
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
+    return _CONTROL.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
@@ -124,6 +126,7 @@ class _Tree:
 
 def packs(conversations: DataFrame, size: int = PACK, tokenizer: str | None = None) -> DataFrame:
     """The packs (see ``PACKS``) of ``conv_id, turn, role, text`` rows."""
+    small_batches(conversations.sparkSession)
     clean = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.struct(
             F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -169,6 +172,7 @@ def conversation(tokens: list[int], nodes: list[dict], node: int) -> list[tuple[
 
 def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Per conversation the digests of its turns and of the text under the loss mask, from the packs alone."""
+    small_batches(formatted.sparkSession)
 
     def run(batches):
         decode = _decoder(tokenizer)

@@ -8,7 +8,8 @@ of the file; decoding is exact Viterbi. Tagged spans that touch no base span are
 The field is trained here, by gradient ascent on the penalised likelihood of
 windows labelled by the base spans. A pass over all texts makes the windows;
 the ``WINDOWS`` with spans and as many without, in the order of a hash of id and
-place, are the bounded sample it is fitted on.
+place, are the bounded sample it is fitted on. Windows with an unlabelled word that
+looks like a secret are left out, for it may be one.
 
 Most words are ordinary: no digit, short, nothing near. When their score for outside
 leads by more than any transitions can make up, the best path is outside there, so the
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import text_blocks
+from versionlink.llm.common import small_batches, text_blocks
 from versionlink.llm.hashing import Words
 
 KINDS = ("assign", "access", "hex", "tagged")
@@ -90,6 +91,7 @@ _F = {name: k for k, name in enumerate(FEATURES)}
 _PLACE = {name: np.int64(1) << np.int64(k) for name, k in _F.items()}
 _NEAR = sum(_PLACE[n] for n in ("key", "after key", "after assignment", "two after key", "before assignment",
                                 "varied", "known start", "hexadecimal", "digit", "equals", "longer", "to 39", "to 23"))
+_ALIKE = sum(_PLACE[n] for n in ("varied", "known start"))
 
 
 def _masks(words: Words, texts: list[bytes]) -> np.ndarray:
@@ -249,6 +251,7 @@ def _tags_of(words: Words, k: int, text: str, raw: bytes, spans) -> np.ndarray:
 
 def windows(docs: DataFrame) -> DataFrame:
     """``key, found, masks, tags``: windows around base spans, and around other words that are not ordinary."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch, texts in text_blocks(batches):
@@ -265,6 +268,8 @@ def windows(docs: DataFrame) -> DataFrame:
                 for at in [*inside, *odd, *([len(own) // 2] if len(own) else [])]:
                     low, high = max(0, at - AROUND), at + AROUND + 1
                     part = tags[low:high]
+                    if ((own[low:high] & _ALIKE > 0) & (part == OUTSIDE)).any():
+                        continue
                     key = zlib.crc32(f"{doc_id}:{at}:{len(raw)}".encode())
                     out.append((key, bool(part.any()), own[low:high].tolist(), part.tolist()))
             yield pa.RecordBatch.from_arrays(
@@ -330,6 +335,7 @@ def _joined(spans) -> str:
 
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
     """Per row ``doc_id, n_assign, n_access, n_hex, n_tagged, base_sha256, spans``."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch, texts in text_blocks(batches):
