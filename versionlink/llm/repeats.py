@@ -119,26 +119,37 @@ def _anchors(length: int, buckets: int):
     return run
 
 
-def _answers(answer):
-    """The rows of one bucket: settled places pass, hashes go to ``answer``; places per row come out."""
+def _flat(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in table[name]), kind)
 
-    def run(table: pa.Table) -> pa.Table:
-        settled, sent = table.filter(table["grams"].is_null()), table.filter(table["grams"].is_valid())
 
-        def flat(name: str, kind, of: pa.Table = sent) -> np.ndarray:
-            return np.frombuffer(b"".join(x.as_py() for x in of[name]), kind)
+def _answers(answer, buckets: int):
+    """The rows of one bucket: settled places pass, hashes go to ``answer``; places come out, packed by row."""
 
+    def run(table: pa.Table) -> pa.Table:
+        settled, sent = table.filter(table["grams"].is_null()), table.filter(table["grams"].is_valid())
+        rows, found = answer(lambda name, kind: _flat(sent, name, kind))
         spots = [np.frombuffer(x.as_py(), np.int32) for x in settled["spots"]]
-        rows, found = answer(flat)
-        rows = np.concatenate([np.repeat(flat("rows", np.int64, settled), [len(s) for s in spots]), rows])
-        found = np.concatenate([*spots, found])
-        out = list(_by_row(rows.astype(np.int64), found)) if len(rows) else []
-        return pa.table({"row": pa.array([r for r, _ in out], pa.int64()),
-                         "spots": pa.array([s for _, s in out], pa.binary())})
+        rows = np.concatenate([np.repeat(_flat(settled, "rows", np.int64), [len(s) for s in spots]), rows]).astype(np.int64)
+        found = np.concatenate([*spots, found]).astype(np.int32)
+        to = rows % buckets
+        order = np.argsort(to, kind="stable")
+        pieces = [(int(to[order[at]]), order[at : at + n]) for at, n in zip(*_runs(to[order]))]
+        return pa.table({
+            "bucket": pa.array([k for k, _ in pieces], pa.int64()),
+            "rows": pa.array([rows[own].tobytes() for _, own in pieces], pa.binary()),
+            "spots": pa.array([found[own].tobytes() for _, own in pieces], pa.binary()),
+        })
 
     return run
 
 
+def _gathered(table: pa.Table) -> pa.Table:
+    """One row per document row with all its places."""
+    out = list(_by_row(_flat(table, "rows", np.int64), _flat(table, "spots", np.int32)))
+    return pa.table({"row": pa.array([r for r, _ in out], pa.int64()), "spots": pa.array([s for _, s in out], pa.binary())})
+
+
 def _repeated(flat) -> tuple[np.ndarray, np.ndarray]:
     grams, rows, spots = flat("grams", np.uint64), flat("rows", np.int64), flat("spots", np.int32)
     order = np.argsort(grams, kind="stable")
@@ -164,10 +175,10 @@ def _not_first(flat) -> tuple[np.ndarray, np.ndarray]:
     return columns[3][order[later]], columns[4][order[later]]
 
 
-def _marked(spots: list[bytes], n: int, before: int, length: int) -> np.ndarray:
+def _marked(spots: bytes, n: int, before: int, length: int) -> np.ndarray:
     """Which of ``n`` places lie in ``[spot - before, spot - before + length)`` of a spot."""
     edge = np.zeros(n + 1, np.int64)
-    at = np.concatenate([np.frombuffer(s, np.int32) for s in spots]).astype(np.int64) - before
+    at = np.frombuffer(spots, np.int32).astype(np.int64) - before
     np.add.at(edge, np.clip(at, 0, n), 1)
     np.add.at(edge, np.clip(at + length, 0, n), -1)
     return np.cumsum(edge[:-1]) > 0
@@ -247,8 +258,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = B
     buckets = 1 + size // bucket_bytes
 
     def places(made: DataFrame, answer) -> DataFrame:
-        pieces = made.groupBy("bucket").applyInArrow(_answers(answer), "row long, spots binary")
-        return stored(pieces.groupBy("row").agg(F.collect_list("spots").alias("spots")))  # of one text
+        packed = made.groupBy("bucket").applyInArrow(_answers(answer, buckets), "bucket long, rows binary, spots binary")
+        return stored(packed.groupBy("bucket").applyInArrow(_gathered, "row long, spots binary"))
 
     anchors = places(rows.select("row", "text").mapInArrow(_anchors(length, buckets), _SENT), _repeated)
     around = rows.join(anchors, "row").select("row", "doc_id", "text", "spots")
