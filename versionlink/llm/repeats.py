@@ -92,12 +92,12 @@ def _anchors(length: int, buckets: int):
     def flush(held) -> pa.RecordBatch:
         grams, rows, spots = (np.concatenate(c) for c in zip(*held))
         order = np.argsort(grams, kind="stable")
-        grams, rows, spots = grams[order], rows[order], spots[order]
-        starts, lengths = _runs(grams)
-        again = np.repeat(lengths > 1, lengths)
-        mark = np.where(lengths > 1, -1, spots[starts]).astype(np.int32)  # -1: needs no answer
-        sent = {"grams": grams[starts], "rows": rows[starts], "spots": mark}
-        return _packed(_by_row(rows[again], spots[again]), buckets, sent)
+        starts, lengths = _runs(grams[order])
+        again = order[np.repeat(lengths > 1, lengths)]
+        settled = list(_by_row(rows[again], spots[again]))
+        spots[again] = -1  # needs no answer
+        first = np.sort(order[starts])  # in text order, which compresses well
+        return _packed(settled, buckets, {"grams": grams[first], "rows": rows[first], "spots": spots[first]})
 
     def run(batches):
         held, count = [], 0
@@ -192,7 +192,8 @@ def _windows(length: int, buckets: int):
         columns = [np.concatenate(c) for c in zip(*held)]
         order, starts, later = _later(*columns)
         names = ("grams", "more", "ids", "rows", "spots")
-        sent = {k: c[order[starts]] for k, c in zip(names, columns)}
+        first = np.sort(order[starts])
+        sent = {k: c[first] for k, c in zip(names, columns)}
         return _packed(_by_row(columns[3][order[later]], columns[4][order[later]]), buckets, sent)
 
     def run(batches):
