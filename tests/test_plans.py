@@ -79,3 +79,13 @@ def test_projection_bars_explicit_blocks(spark):
     size = spark.createDataFrame([(2, 3)], "new_fid long, blocks long")
     got = project.project_counts(counts, explicit, [weaker], size)
     assert sorted((r["old_bid"], r["new_bid"], r["count"]) for r in got.collect()) == [(0, 1, 5), (2, 0, 7)]
+
+
+def test_unique_projection_offers_a_freed_target_again(spark):
+    counts = spark.createDataFrame([(1, 1, 5), (1, 2, 6)], "old_fid long, old_bid long, count long")
+    link = "old_fid long, old_bid long, new_fid long, new_bid long"
+    rules = [spark.createDataFrame(rows, link) for rows in ([], [(1, 1, 2, 1)], [(1, 1, 2, 2), (1, 2, 2, 2)])]
+    size = spark.createDataFrame([(2, 3)], "new_fid long, blocks long")
+    got = project.project_counts(counts, rules[0], rules[1:], size, unique=True)
+    assert sorted((r["old_bid"], r["new_bid"], r["count"]) for r in got.collect()) == [(1, 1, 5), (2, 2, 6)]
+    assert project.project_counts(counts, rules[0], [rules[0]], size, unique=True).count() == 0

@@ -93,7 +93,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], l: str, r
                   at_least: float, small_block: int = SMALL_BLOCK) -> DataFrame:
     """Every value pair of a block with edit similarity of ``at_least`` or more.
 
-    Blocks of up to ``small_block`` value pairs are compared directly. In larger
+    Equal values are met by an equi-join, also those too short to have a gram; a
+    text of one letter has no other partner from 0.8 on. Blocks of up to ``small_block`` value pairs are compared directly. In larger
     ones pairs are met by an equi-join on rare grams: texts within d edits share
     a two-letter gram among the 2d+1 rarest of each (d is the most edits the
     bound allows for a text's length). From 0.8 on every text has that many
@@ -111,7 +112,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], l: str, r
     shorter, longer = F.least("__ll", "__rl"), F.greatest("__ll", "__rl")
     fits = shorter >= longer * at_least
     small = lambda side: side.join(large, block, "left_anti")
-    near = block_join(small(own_l), small(own_r), block).where(fits)
+    near = block_join(small(own_l), small(own_r), block).where(fits & (F.col(l) != F.col(r)))
     if not large.isEmpty():
         big_l, big_r = own_l.join(large, block, "left_semi"), own_r.join(large, block, "left_semi")
         texts = big_l.select(F.col(l).alias("__text")).unionByName(big_r.select(F.col(r).alias("__text"))).distinct()
@@ -120,11 +121,14 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], l: str, r
             *block, *c, "__gram", "__k")
         met = block_join(tagged(big_l, l, "__l", "__ll"), tagged(big_r, r, "__r", "__rl"), [*block, "__gram", "__k"])
         met = met.where(fits).select(*block, "__l", "__r").distinct()
-        met = met.join(big_l, [*block, "__l"]).join(big_r, [*block, "__r"])
+        met = met.join(big_l, [*block, "__l"]).join(big_r, [*block, "__r"]).where(F.col(l) != F.col(r))
         near = near.select(*block, l, r).unionByName(met.select(*block, l, r))
     least = F.lit(at_least)
-    similar = F.when(F.col(l) == F.col(r), F.lit(1.0)).otherwise(_similarity(F.col(l), F.col(r), least))
-    return near.select(*block, l, r, similar.alias("similarity")).where(F.col("similarity") >= at_least)
+    same = own_l.select(*block, l).join(own_r.select(*block, F.col(r).alias(l)), [*block, l]).select(
+        *block, l, F.col(l).alias(r), F.lit(1.0).alias("similarity")
+    )
+    similar = near.select(*block, l, r, _similarity(F.col(l), F.col(r), least).alias("similarity"))
+    return similar.where(F.col("similarity") >= at_least).unionByName(same)
 
 
 def _rare_grams(texts: DataFrame, at_least: float) -> DataFrame:

@@ -54,8 +54,10 @@ def rounds_of_ordered_best(old: DataFrame, new: DataFrame, block: list[str], com
     such partner by (old_func, new_func), then a new fid its first taker.
     Partners retire and the round repeats until no pair is open. Where every
     class of one set ties with every class of another, that rule gives one pair
-    per round in name order; all those pairs are taken in one round, k-th with
-    k-th.
+    per round in name order, k-th with k-th. When no class of such sets has an open
+    pair outside, all their pairs are taken at once. Other such sets advance
+    together by as many rounds as pass until the first of their classes runs out,
+    for until then nothing that the rule looks at can change.
 
     A fid may have several rows (``aliases``). Class pairs are stored once when
     there are up to ``stored_pairs`` of them; beyond that they are formed again
@@ -100,15 +102,16 @@ def rounds_of_ordered_best(old: DataFrame, new: DataFrame, block: list[str], com
         if mutual.isEmpty():
             break
         ties = settle(_ties(mutual))
-        bulk, single, largest = ties.agg(
+        bulk, single, bound, largest = ties.agg(
             F.sum(F.col("bulk").cast("int")), F.sum((~F.col("bulk")).cast("int")),
+            F.sum((F.col("bulk") & ~F.col("alone")).cast("int")),
             F.max(F.greatest(F.col("old_n") * F.col("takers.n"), F.col("new_n") * F.col("picks.n"))),
         ).first()
         parts = []
         if single:
             parts.append(_first_takers(ties.where(~F.col("bulk")), active_old, aliases))
         if bulk:
-            parts.append(_kth_with_kth(ties.where("bulk"), active_old, active_new, largest))
+            parts.append(_kth_with_kth(ties.where("bulk"), active_old, active_new, largest, bool(bound), bool(single)))
         won_parts.append(settle(union_all(parts)))
     return union_all(won_parts) if won_parts else _result(old)
 
@@ -130,7 +133,7 @@ def _pair_count(old: DataFrame, new: DataFrame, block: list[str]) -> int:
 
 def _active(rows: DataFrame, pairs: DataFrame, name: str, aliases: bool) -> DataFrame:
     """Rows whose class reaches the best score of their fid, with that score."""
-    best = pairs.groupBy(name).agg(F.max("score").alias("best"))
+    best = pairs.groupBy(name).agg(F.max("score").alias("best"), F.count("*").alias("partners"))
     active = rows.select("fid", "func", name).join(best, name)
     if not aliases:
         return active.withColumn("several", F.lit(False))
@@ -148,6 +151,7 @@ def _mutual(pairs: DataFrame, active_old: DataFrame, active_new: DataFrame) -> D
             F.min(F.struct("func", "fid")).alias(f"{side}_head"),
             F.count("*").alias(f"{side}_n"),
             F.max("several").alias(f"{side}_several"),
+            F.first("partners").alias(f"{side}_partners"),
         )
 
     return (
@@ -165,8 +169,9 @@ def _ties(mutual: DataFrame) -> DataFrame:
     edges = mutual.join(picks, "old_class").join(takers, "new_class")
     # all of `takers` pick exactly `picks` when every pair of the two sets is here
     whole = (F.count("*") == F.col("picks.n") * F.col("takers.n")) & ~F.max(F.col("old_several") | F.col("new_several"))
-    groups = edges.groupBy("picks", "takers").agg(whole.alias("bulk"))
-    return edges.join(groups, ["picks", "takers"]).drop("old_several", "new_several")
+    outside = F.max((F.col("old_partners") > F.col("picks.n")) | (F.col("new_partners") > F.col("takers.n")))
+    groups = edges.groupBy("picks", "takers").agg(whole.alias("bulk"), (~outside).alias("alone"))
+    return edges.join(groups, ["picks", "takers"]).drop("old_several", "new_several", "old_partners", "new_partners")
 
 
 def _set_of(column: str) -> Column:
@@ -193,15 +198,23 @@ def _first_takers(ties: DataFrame, active_old: DataFrame, aliases: bool) -> Data
     return first.select("first.old_fid", "first.old_func", "new_fid", "first.new_func")
 
 
-def _kth_with_kth(ties: DataFrame, active_old: DataFrame, active_new: DataFrame, largest: int) -> DataFrame:
+def _kth_with_kth(ties: DataFrame, active_old: DataFrame, active_new: DataFrame, largest: int,
+                  bound: bool, one: bool) -> DataFrame:
+    """K-th with k-th; in sets that are not ``alone`` (some, if ``bound``) only the next ranks (the first, if ``one``)."""
+    sets = ["picks", "takers"]
+
     def ranked(active: DataFrame, name: str, side: str) -> DataFrame:
-        rows = active.join(ties.select(name, "picks", "takers").distinct(), name).select(
-            "picks", "takers", F.col("fid").alias(f"{side}_fid"), F.col("func").alias(f"{side}_func")
+        rows = active.join(ties.select(name, *sets, "alone").distinct(), name).select(
+            *sets, "alone", name, F.col("fid").alias(f"{side}_fid"), F.col("func").alias(f"{side}_func")
         )
-        return positions(rows, ["picks", "takers"], [f"{side}_func", f"{side}_fid"], largest=largest)
+        return positions(rows, sets, [f"{side}_func", f"{side}_fid"], largest=largest)
 
-    return (
-        ranked(active_old, "old_class", "old")
-        .join(ranked(active_new, "new_class", "new"), ["picks", "takers", "position"])
-        .select("old_fid", "old_func", "new_fid", "new_func")
-    )
+    old, new = ranked(active_old, "old_class", "old"), ranked(active_new, "new_class", "new")
+    pairs = old.join(new.drop("alone"), [*sets, "position"])
+    if bound:
+        def last(rows: DataFrame, name: str) -> DataFrame:
+            return rows.where("not alone").groupBy(*sets, name).agg(F.max("position").alias("last")).select("last")
+
+        step = 1 if one else last(old, "old_class").unionByName(last(new, "new_class")).agg(F.min("last")).first()[0]
+        pairs = pairs.where(F.col("alone") | (F.col("position") <= step))
+    return pairs.select("old_fid", "old_func", "new_fid", "new_func")

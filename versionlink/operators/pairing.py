@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Rows of the new side of one block that one task pairs with an old row.
+# Rows of a side of one block that meet in one tile.
 TILE_ROWS = 20_000
 
 
 def block_join(old: DataFrame, new: DataFrame, block: list[str], tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Equi-join on ``block`` with the new side of big blocks cut into tiles.
+    """Equi-join on ``block`` with both sides of big blocks cut into tiles.
 
-    A block whose new side holds more than ``tile_rows`` rows is spread over
-    several tiles and its old rows are sent to each, so its pairs are formed by
-    many tasks. Other blocks have one tile.
+    A block is a grid of tiles of up to ``tile_rows`` rows of each side, and every row goes
+    to the tiles of its band, so no task meets more than a tile's pairs. Blocks that fit have
+    one tile.
     """
-    tiles = (
-        new.groupBy(*block).agg(F.count("*").alias("__n"))
-        .select(*block, F.ceil(F.col("__n") / tile_rows).cast("int").alias("__tiles"))
-    )
-    payload = [c for c in new.columns if c not in block]
-    spread_new = new.join(tiles, block).withColumn(
-        "__tile", F.pmod(F.xxhash64(*[F.col(c) for c in payload]), F.col("__tiles")).cast("int")
-    ).drop("__tiles")
-    spread_old = old.join(tiles, block).withColumn(
-        "__tile", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1))
-    ).drop("__tiles")
-    # Pairs cost far more than their bytes show, so the tasks are not merged by size.
-    spark = old.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    place = lambda side: side.repartition(tasks, *block, "__tile")
-    return place(spread_old).join(place(spread_new), [*block, "__tile"]).drop("__tile")
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*block).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(name))
+
+    grid = parts(old, "__rows").join(parts(new, "__columns"), block)
+
+    def band(side: DataFrame, count: str) -> Column:
+        payload = [F.col(c) for c in side.columns if c not in block]
+        return F.pmod(F.xxhash64(*payload), F.col(count)).cast("int")
+
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    spread_old = old.join(grid, block).withColumn("__row", band(old, "__rows")).withColumn("__column", every("__columns"))
+    spread_new = new.join(grid, block).withColumn("__column", band(new, "__columns")).withColumn("__row", every("__rows"))
+    spread_old, spread_new = (side.drop("__rows", "__columns") for side in (spread_old, spread_new))
+    # no fixed number of partitions, so Spark can merge small ones and split those that are too large
+    return spread_old.join(spread_new, [*block, "__row", "__column"]).drop("__row", "__column")

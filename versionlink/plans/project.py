@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from versionlink.functions.similarity import call_distance, name_distance
+from versionlink.operators.assign import retire
 from versionlink.operators.ordered import rounds_of_ordered_best
+from versionlink.session import settle, union_all
 
 TOMBSTONE = -1
 
@@ -18,7 +20,10 @@ def project_counts(counts: DataFrame, explicit: DataFrame, weaker: list[DataFram
     falling precedence): old_fid, old_bid, new_fid, new_bid; ``size``: new_fid,
     blocks. A target is taken once, by the first rule and the first old block.
     Blocks with an explicit link, also to the tombstone, are barred from weaker
-    rules. Targets past the end are skipped. With ``unique`` a source is used once.
+    rules. Targets past the end are skipped. With ``unique`` a source is used once
+    too: links are taken in the order of rule, source and target, each if both its
+    ends are still free. A link that comes first at both ends is taken in any case, so
+    rounds of those give the same.
     """
     source, target = ["old_fid", "old_bid"], ["new_fid", "new_bid"]
     ranked = explicit.withColumn("rule", F.lit(0))
@@ -27,10 +32,15 @@ def project_counts(counts: DataFrame, explicit: DataFrame, weaker: list[DataFram
         ranked = ranked.unionByName(open_links.withColumn("rule", F.lit(i)))
     ranked = ranked.join(size, "new_fid").where((F.col("new_bid") != TOMBSTONE) & (F.col("new_bid") < F.col("blocks")))
     ranked = ranked.drop("blocks")
-    first = F.min(F.struct("rule", *source)).alias("f")
-    taken = ranked.groupBy(*target).agg(first).select(*target, "f.*")
-    if unique:
-        taken = taken.groupBy(*source).agg(F.min(F.struct("rule", *target)).alias("f")).select(*source, "f.*")
+    first = lambda links, end, other: links.groupBy(*end).agg(F.min(F.struct("rule", *other)).alias("f")).select(*end, "f.*")
+    if not unique:
+        return first(ranked, target, source).join(counts, source).select(*source, *target, "rule", "count")
+    parts, open_links = [], settle(ranked.select("rule", *source, *target).distinct())
+    while not open_links.isEmpty():
+        won = settle(first(open_links, target, source).join(first(open_links, source, target), ["rule", *source, *target]))
+        parts.append(won)
+        open_links = settle(retire(open_links, won, source, target))
+    taken = union_all(parts) if parts else open_links
     return taken.join(counts, source).select(*source, *target, "rule", "count")
 
 

@@ -259,6 +259,42 @@ def project_counts(spark: SparkSession, folder: str) -> DataFrame:
     return project.project_counts(*_projection(spark, folder))
 
 
+def _greedy(rounds: int) -> str:
+    """Rounds of the links that are first at both ends; the last round must find nothing."""
+    parts, rest = [], "ok"
+    for k in range(rounds):
+        parts.append(f"""
+  t{k} as materialized (select *, min((rule,old_fid,old_bid)) over (partition by new_fid,new_bid) a,
+    min((rule,new_fid,new_bid)) over (partition by old_fid,old_bid) b from {rest}),
+  w{k} as materialized (select new_fid, new_bid, rule, old_fid, old_bid from t{k} where a=(rule,old_fid,old_bid) and b=(rule,new_fid,new_bid)),
+  r{k} as materialized (select new_fid, new_bid, rule, old_fid, old_bid from {rest} x
+    where not exists (select 1 from w{k} w where w.new_fid=x.new_fid and w.new_bid=x.new_bid)
+      and not exists (select 1 from w{k} w where w.old_fid=x.old_fid and w.old_bid=x.old_bid))""")
+        rest = f"r{k}"
+    won = " union all ".join(f"select * from w{k}" for k in range(rounds))
+    return f"{','.join(parts)}, f as ({won} union all select -1, -1, -1, -1, -1 from {rest})"
+
+
+@query("project_counts_unique", f"""
+  with {HASHED},
+  near as (select old_fid, o.bid old_bid, new_fid, n.bid new_bid, 1 as rule from fmap join old_n o on o.fid=old_fid join new_n n on n.fid=new_fid
+    where n.bid between o.bid and o.bid+1 and (old_fid,o.bid) not in (select (old_fid,old_bid) from seed)),
+  sz as (select fid new_fid, count(*) blocks from new_n group by 1),
+  ok as (select distinct new_fid, new_bid, rule, old_fid, old_bid from (select old_fid, old_bid, new_fid, new_bid, 0 as rule from seed union all
+    select * from near) join sz using (new_fid) where new_bid<blocks),
+  {_greedy(24)}
+  select f.*, cnt count from f left join old_n on fid=old_fid and bid=old_bid""")
+def project_counts_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Each old block once: by hash, else on the block of its own or the next number."""
+    old, new, _, _, func_map = _sides(spark, folder)
+    seed = settle(blocks.link_blocks_by_hash(func_map, old, new))
+    bids = lambda side, s: side.select(F.col("fid").alias(f"{s}_fid"), F.col("bid").alias(f"{s}_bid"))
+    near = func_map.join(bids(old, "old"), "old_fid").join(bids(new, "new"), "new_fid").where("new_bid between old_bid and old_bid + 1").select(*seed.columns)
+    counts = old.select(F.col("fid").alias("old_fid"), F.col("bid").alias("old_bid"), F.col("cnt").alias("count"))
+    size = new.groupBy(F.col("fid").alias("new_fid")).agg(F.count("*").alias("blocks"))
+    return project.project_counts(counts, seed, [near], size, unique=True)
+
+
 CROSS = f"""{WIDE},
   oe as (select fid old_fid, bid src_bid, next_bid dst_bid, cnt from old_n where next_bid is not null and cnt<>0),
   oc as (select * from oe join wide w on w.old_fid=oe.old_fid and w.old_bid=oe.src_bid),

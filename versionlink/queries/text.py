@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -17,15 +14,14 @@ from versionlink.plans.paths import link_paths_by_name, replace_with_path
 from versionlink.plans.project import sample_shares
 from versionlink.queries import fixtures as fx
 from versionlink.queries.registry import query
+from versionlink.session import shared_folder
 from versionlink.sources import links, logs
 from versionlink.sources.files import split_sources
 from versionlink.sources.listing import read_instructions
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder all executors reach, below the checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="versionlink-")
-    return os.path.join(base, f"text-{uuid.uuid4()}")
+    return shared_folder(spark, "text")
 
 
 EDIT = "case when greatest(length({a}),length({b}))=0 then 1.0 else 1.0-levenshtein({a},{b})::double/greatest(length({a}),length({b})) end"

@@ -9,6 +9,7 @@ gets a folder of its own.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors reach, below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and continue from its reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
