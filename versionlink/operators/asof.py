@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from versionlink.operators.fill import fill_anchors
 from versionlink.session import settle
 
+# Rows of one range part, which a single task sorts.
+PART_ROWS = 2_000_000
+
 
 def asof_backward(rows: DataFrame, marks: DataFrame, order: list[str], value: list[str]) -> DataFrame:
     """Attach to each row the ``value`` columns of the nearest mark at or before it.
@@ -22,7 +25,9 @@ def asof_backward(rows: DataFrame, marks: DataFrame, order: list[str], value: li
     both = left.unionByName(right, allowMissingColumns=True)
     # A mark at the place of a row counts for the row; of several marks at one place the largest counts.
     both = both.withColumn("__at", F.struct("__order", F.col("__row").isNotNull().alias("r"), "__mark"))
-    parts = both.repartitionByRange(*[F.col(f"__order.{c}") for c in order])
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(least, -(-both.count() // PART_ROWS))
+    parts = both.repartitionByRange(wanted, *[F.col(f"__order.{c}") for c in order])
     # The sampled ranges are fixed here: both steps of the fill must see the same parts.
     parts = settle(parts.withColumn("__part", F.spark_partition_id()))
     whole = parts.withColumn("__all", F.lit(0))

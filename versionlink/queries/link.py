@@ -167,24 +167,22 @@ NAMED_PATHS = """
          on n.path=concat('new/',o.path))"""
 
 _UNIQUE = """
-  ou as (select path, code, min(line) line from old_src group by path, code having count(*)=1),
-  nu as (select path, code, min(line) line from new_src group by path, code having count(*)=1),
+  ou as (select min(path) path, code, min(line) line from old_src group by {key} having count(*)=1),
+  nu as (select min(path) path, code, min(line) line from new_src group by {key} having count(*)=1),
   m as materialized (select pm.old_path, o.line old_line, pm.new_path, n.line new_line
-        from pm join ou o on o.path=old_path join nu n on n.path=new_path and n.code=o.code{only})"""
+        from pm join ou o on o.path=old_path join nu n on n.path=new_path and n.code=o.code)"""
 
-LONG = 60  # in some queries only lines longer than this serve as anchors
-BASE, LONG_BASE = (
-    f"{fx.EDITED_LINES}, {NAMED_PATHS}, {_UNIQUE.format(only=only)}" for only in ("", f" and length(o.code)>{LONG}")
-)
+# in some queries only lines that occur once in a whole version serve as anchors, so others are left between them
+BASE, RARE_BASE = (f"{fx.EDITED_LINES}, {NAMED_PATHS}, {_UNIQUE.format(key=key)}" for key in ("path, code", "code"))
 
 
-def _base(spark: SparkSession, folder: str, longer: int = -1):
+def _base(spark: SparkSession, folder: str, rare: bool = False):
     """Edited lines, the path links, and the links of lines unique in their paths."""
     old, new = fx.edited_lines(spark, folder)
     old, new = settle(old), settle(new.drop("true_old_line"))
     path_map = settle(paths.link_paths_by_name(old.select("path"), new.select("path")))
-    long = lambda src: src.where(F.length("code") > longer)
-    links = settle(ln.equal_unique_lines(long(old), long(new), path_map))
+    once = lambda src: src.join(src.groupBy("code").count().where("count = 1").select("code"), "code", "left_semi")
+    links = settle(ln.equal_unique_lines(*(once(src) if rare else src for src in (old, new)), path_map))
     return old, new, path_map, links, ln.largest_line(old, new)
 
 
@@ -215,7 +213,7 @@ def anchors(s: str, o: str) -> str:
 
 
 INSIDE = "old_line>old_line_prev and old_line<old_line_next and new_line>new_line_prev and new_line<new_line_next"
-BOUNDS, LONG_BOUNDS = (f"{base}, {anchors('old', 'new')}, {anchors('new', 'old')}" for base in (BASE, LONG_BASE))
+BOUNDS, RARE_BOUNDS = (f"{base}, {anchors('old', 'new')}, {anchors('new', 'old')}" for base in (BASE, RARE_BASE))
 
 
 @query("line_bounds_tight", f"with {BOUNDS} select * from tight_old")
@@ -237,7 +235,7 @@ def line_bounds_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("line_equal_between", f"""
-  with {LONG_BOUNDS},
+  with {RARE_BOUNDS},
   oo as (select path old_path, code, min(line) old_line, coalesce(min(pl),0) new_line_prev, coalesce(min(nl),9223372036854775807) new_line_next
          from g_old where here is null group by 1,2 having count(*)=1),
   nn as (select path new_path, code, min(line) new_line, coalesce(min(pl),0) old_line_prev, coalesce(min(nl),9223372036854775807) old_line_next
@@ -245,7 +243,7 @@ def line_bounds_ranked(spark: SparkSession, folder: str) -> DataFrame:
   p as (select old_path, old_line, new_path, new_line from pm join oo using (old_path) join nn using (new_path, code) where {INSIDE})
   select * exclude (a,b) from (select *, count(*) over (partition by old_path,old_line) a, count(*) over (partition by new_path,new_line) b from p) where a=1 and b=1""")
 def line_equal_between(spark: SparkSession, folder: str) -> DataFrame:
-    old, new, path_map, links, top = _base(spark, folder, LONG)
+    old, new, path_map, links, top = _base(spark, folder, rare=True)
     return ln.equal_lines_between(old, new, path_map, links, top)
 
 
@@ -348,10 +346,10 @@ def line_same_code_loose(spark: SparkSession, folder: str) -> DataFrame:
     return function_lines.same_code_inside(loose_bounds(old, "old", "new", links, top), loose_bounds(new, "new", "old", links, top), top)
 
 
-@query("line_same_code_anywhere", f"with {LONG_BOUNDS} " + alone(
+@query("line_same_code_anywhere", f"with {RARE_BOUNDS} " + alone(
     "select distinct old_path,old_line,new_path,new_line from loose_old join loose_new using (old_path,new_path,code)"))
 def line_same_code_anywhere(spark: SparkSession, folder: str) -> DataFrame:
-    old, new, _, links, top = _base(spark, folder, LONG)
+    old, new, _, links, top = _base(spark, folder, rare=True)
     return function_lines.same_code_anywhere(loose_bounds(old, "old", "new", links, top), loose_bounds(new, "new", "old", links, top))
 
 
@@ -435,7 +433,8 @@ def line_link_with_functions(spark: SparkSession, folder: str) -> DataFrame:
 SCORES = f"""
   scores as materialized (select o.fid old_fid, n.fid new_fid, sum((length(o.code)+length(n.code)-levenshtein(o.code,n.code))//2)::bigint score
     from m join f_old o on o.path=old_path and o.line=old_line join f_new n on n.path=new_path and n.line=new_line group by 1,2),
-  present as (select old_fid, new_fid from fm where old_fid%3=0)"""
+  present as (select old_fid, new_fid from fm join (select fid, arg_min(code,line) c from f_old group by 1) a on a.fid=old_fid
+    join (select fid, arg_min(code,line) c from f_new group by 1) b on b.fid=new_fid and b.c=a.c)"""
 
 
 def _scores(spark: SparkSession, folder: str):
@@ -443,7 +442,8 @@ def _scores(spark: SparkSession, folder: str):
     place = lambda f: f.select("fid", "path", "line")
     code = lambda f: f.select("path", "line", "code").distinct()
     scores = settle(overlap.overlap_scores(links, place(old), place(new), code(old), code(new)))
-    return scores, func_map.where("old_fid % 3 = 0")
+    first = lambda side, s: side.groupBy(F.col("fid").alias(f"{s}_fid")).agg(F.min_by("code", "line").alias("first"))
+    return scores, func_map.join(first(old, "old"), "old_fid").join(first(new, "new"), ["new_fid", "first"]).drop("first")
 
 
 @query("overlap_scores", f"with {BASE}, {OWNED}, {SCORES} select * from scores")

@@ -45,7 +45,7 @@ def name_similarity(spark: SparkSession, folder: str) -> DataFrame:
     names = fx.table(spark, folder, "part").select(
         F.col("p_name").alias("n"), F.col("p_brand").alias("b"), F.col("p_type").alias("t")).distinct()
     # the next name is the one at the next position of the whole order
-    ranked = positions(names.withColumn("all", F.lit(0)), ["all"], ["n", "b", "t"], "at", largest=None)
+    ranked = positions(names.withColumn("all", F.lit(0)), ["all"], ["n", "b", "t"], "at", task_rows=0)  # ranked over many tasks
     after = ranked.select((F.col("at") - 1).alias("at"), F.col("n").alias("m"))
     return ranked.join(after, "at").select(
         "n", "b", "t", F.round(sim.edit_similarity("n", "m"), 10).alias("similarity"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from versionlink.functions.text import normal_path, signed
+from versionlink.session import settle
 
 # Fixed line tags of the log format; the word before the dash names the writing tool.
 INFO_TAG, COUNTS_TAG, PROFILE_TAG = r"\A\w+-LineInfo#", r"\A\w+-Counts: ", r"\A  - name:"
@@ -53,29 +54,33 @@ def with_line_rank(info: DataFrame) -> DataFrame:
     return info.join(lines.withColumn("rank", F.dense_rank().over(window)), ["file", "line"])
 
 
-def _counts(spark: SparkSession, path, kind: str) -> DataFrame:
+def _counts(spark: SparkSession, path) -> DataFrame:
     fields = F.split("value", " ", 3)
     return tagged_lines(spark, path, COUNTS_TAG).select(
         F.get(fields, F.lit(1)).alias("kind"), F.get(fields, F.lit(2)).alias("v")
-    ).where(F.col("kind") == kind)
+    )
+
+
+def _of_kind(spark: SparkSession, path, parsed: DataFrame | None, kind: str) -> DataFrame:
+    return (_counts(spark, path) if parsed is None else parsed).where(F.col("kind") == kind)
 
 
 def _block(text, i: int):
     return F.get(F.split(text, "#", 2), F.lit(i)).try_cast("bigint")
 
 
-def read_functions(spark: SparkSession, path) -> DataFrame:
+def read_functions(spark: SparkSession, path, parsed: DataFrame | None = None) -> DataFrame:
     """fid, func, count; one row per alias name."""
     f = F.split("v", " ", 5)
     names = F.split(F.regexp_replace(f[0], r",+\z", ""), ",")
-    return _counts(spark, path, "func").select(
+    return _of_kind(spark, path, parsed, "func").select(
         f[2].try_cast("bigint").alias("fid"), F.explode(names).alias("func"), signed(f[1]).alias("count")
     )
 
 
-def read_nodes(spark: SparkSession, path) -> DataFrame:
+def read_nodes(spark: SparkSession, path, parsed: DataFrame | None = None) -> DataFrame:
     f = F.split("v", " ", 6)
-    rows = _counts(spark, path, "node").select(
+    rows = _of_kind(spark, path, parsed, "node").select(
         _block(f[0], 0).alias("fid"), _block(f[0], 1).alias("bid"), f[2].try_cast("bigint").alias("start"),
         f[3].try_cast("bigint").alias("end"), signed(f[4]).alias("hash"), f[5].try_cast("bigint").alias("insns"),
         signed(f[1]).alias("count"),
@@ -86,14 +91,15 @@ def read_nodes(spark: SparkSession, path) -> DataFrame:
     )
 
 
-def read_edges(spark: SparkSession, path) -> DataFrame:
+def read_edges(spark: SparkSession, path, parsed: DataFrame | None = None) -> DataFrame:
     f = F.split("v", " ", 3)
-    return _counts(spark, path, "edge").select(
+    return _of_kind(spark, path, parsed, "edge").select(
         _block(f[0], 0).alias("src_fid"), _block(f[0], 1).alias("src_bid"),
         _block(f[1], 0).alias("dst_fid"), _block(f[1], 1).alias("dst_bid"),
     )
 
 
 def read_graph(spark: SparkSession, path) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(functions, nodes, edges) of one log."""
-    return read_functions(spark, path), read_nodes(spark, path), read_edges(spark, path)
+    """(functions, nodes, edges) of one log, which is scanned once."""
+    parsed = settle(_counts(spark, path))
+    return read_functions(spark, path, parsed), read_nodes(spark, path, parsed), read_edges(spark, path, parsed)
