@@ -401,7 +401,7 @@ def link_whole_versions(spark: SparkSession, folder: str) -> DataFrame:
         ends = nodes.select(F.col("fid").alias("dst_fid"), F.col("bid").alias("dst_bid"))
         edges = nodes.select(F.col("fid").alias("src_fid"), F.col("bid").alias("src_bid"), F.col("fid").alias("dst_fid"), (F.col("bid") + 1).alias("dst_bid"))
         firsts = items_of.groupBy("fid", "path").agg(F.min("line").alias("line"), F.min_by("code", "line").alias("code"))
-        name = F.substring("code", 1, 30)
+        name = F.col("code")
         info = settle(firsts.select("fid", F.concat(name, F.lit("#"), F.col("fid").cast("string")).alias("func"),
                                     F.element_at(F.split("path", "/"), -2).alias("namespace"), name.alias("basename"), F.lit("()").alias("parameters"),
                                     F.lit("").alias("extension"), F.lit("1").alias("chunk"), "path", "line"))
