@@ -77,12 +77,17 @@ def equal_lines_between(old_src: DataFrame, new_src: DataFrame, path_map: DataFr
     return single_on_both(mutual_inside(pairs).select(*LINK), OLD, NEW)
 
 
-def link_equal_unique(old_src: DataFrame, new_src: DataFrame, path_map: DataFrame,
-                      max_rounds: int | None = None, top: int | None = None) -> DataFrame:
+def has_comments(*sides: DataFrame) -> bool:
+    """Whether some line differs without its line comment; if none does, that pass finds nothing new."""
+    return any(not s.where(F.col("code") != without_line_comment(F.col("code"))).isEmpty() for s in sides)
+
+
+def link_equal_unique(old_src: DataFrame, new_src: DataFrame, path_map: DataFrame, max_rounds: int | None = None,
+                      top: int | None = None, comments: bool = True) -> DataFrame:
     """:func:`equal_unique_lines`, then :func:`equal_lines_between` until dry,
-    then the same once more without line comments."""
+    then the same once more without line comments (``comments``: some line has one)."""
     found = [settle(equal_unique_lines(old_src, new_src, path_map))]
-    stripped, rounds = False, 0
+    stripped, rounds = not comments, 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         more = settle(equal_lines_between(old_src, new_src, path_map, union_all(found), top))
@@ -116,7 +121,7 @@ def _inside_join(old: DataFrame, new: DataFrame, keys: list[str], top: int) -> D
 
 
 def link_equal_repeated(old_src: DataFrame, new_src: DataFrame, src_map: DataFrame, top: int,
-                        apart: str | None = None) -> DataFrame:
+                        apart: str | None = None, comments: bool = True) -> DataFrame:
     """Repeated code between links: equal count and position, else first with
     first and last with last, else the same without line comments (positions stay).
 
@@ -136,7 +141,7 @@ def link_equal_repeated(old_src: DataFrame, new_src: DataFrame, src_map: DataFra
 
     part = [apart] if apart else []
     found: list[DataFrame] = []
-    for strip in (lambda side: side, _uncommented):
+    for strip in (lambda side: side, _uncommented) if comments else (lambda side: side,):
         pairs = _inside_join(keyed(strip(old)), keyed(strip(new)), ["code", "step", "at", "rank_count"], top)
         won = settle(nearest_unique(pairs, ["step"]))
         if won.isEmpty():
@@ -241,15 +246,16 @@ def link_lines(old_src: DataFrame, new_src: DataFrame, old_lines: DataFrame, new
     """
     old_src, new_src = settle(old_src), settle(new_src)
     top = largest_line(old_src, new_src)
+    comments = has_comments(old_src, new_src)
     by_name = settle(link_paths_by_name(old_src.select("path"), new_src.select("path")))
-    found = [no_links(old_src.sparkSession), *_named_steps(old_src, new_src, by_name, top, max_rounds)]
+    found = [no_links(old_src.sparkSession), *_named_steps(old_src, new_src, by_name, top, max_rounds, comments)]
     rounds, used = 0, len(found) > 1
     more_rounds = lambda: max_rounds is None or rounds < max_rounds
     open_old, open_new, path_map = old_src, new_src, by_name
 
     def equal_steps(old: DataFrame, new: DataFrame) -> bool:
-        won = [settle(link_equal_unique(old, new, path_map, top=top))]
-        won.append(link_equal_repeated(old_src, new_src, union_all([*found, *won]), top))
+        won = [settle(link_equal_unique(old, new, path_map, top=top, comments=comments))]
+        won.append(link_equal_repeated(old_src, new_src, union_all([*found, *won]), top, comments=comments))
         won = [w for w in won if not w.isEmpty()]
         found.extend(won)
         return bool(won)
@@ -283,7 +289,7 @@ def link_lines(old_src: DataFrame, new_src: DataFrame, old_lines: DataFrame, new
 
 
 def _named_steps(old_src: DataFrame, new_src: DataFrame, path_map: DataFrame, top: int,
-                 max_rounds: int | None) -> list[DataFrame]:
+                 max_rounds: int | None, comments: bool = True) -> list[DataFrame]:
     """The equal-line steps on paths linked by name, until dry.
 
     Each old path has one new path here, so the old paths of one new path are a
@@ -300,8 +306,9 @@ def _named_steps(old_src: DataFrame, new_src: DataFrame, path_map: DataFrame, to
         old, new = settle(of(old_src, "old")), settle(of(new_src, "new"))
         links = union_all(found) if found else no_links(old_src.sparkSession)
         open_old, open_new = settle(unlinked(old, links, "old")), settle(unlinked(new, links, "new"))
-        won = [settle(link_equal_unique(open_old, open_new, active, top=top))]
-        won.append(settle(link_equal_repeated(old, new, union_all([*found, *won]), top, apart="new_path")))
+        won = [settle(link_equal_unique(open_old, open_new, active, top=top, comments=comments))]
+        won.append(settle(link_equal_repeated(
+            old, new, union_all([*found, *won]), top, apart="new_path", comments=comments)))
         won = [w for w in won if not w.isEmpty()]
         if not won:
             break

@@ -385,7 +385,7 @@ def nearest_name(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("link_versions")
 def link_whole_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """All steps, one round of every loop, on documents as programs: 20 lines form a function, 5 a block, a line is an instruction."""
+    """All steps, every loop until dry, on documents as programs: 20 lines form a function, 5 a block, a line is an instruction."""
     old_lines, new_lines = fx.edited_lines(spark, folder)
 
     def version(lines: DataFrame) -> Version:
@@ -410,5 +410,5 @@ def link_whole_versions(spark: SparkSession, folder: str) -> DataFrame:
                        items_of.drop("code"), settle(lines.select("path", "line", "code")))
 
     old, new = version(old_lines), version(new_lines)
-    links = link_versions(old, new, old.functions.select("fid", "func"), max_rounds=1)
+    links = link_versions(old, new, old.functions.select("fid", "func"))
     return links.blocks.select("old_fid", "old_bid", "new_fid", "new_bid")

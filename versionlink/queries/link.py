@@ -300,10 +300,10 @@ def line_link_words(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("line_link_all")
 def line_link_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Line links of the documents and their edited version: one round of every loop."""
+    """Line links of the documents and their edited version, every loop until dry."""
     old, new = fx.edited_lines(spark, folder)
     place = ["path", "line"]
-    return ln.link_lines(old, new.drop("true_old_line"), old.select(*place), new.select(*place), max_rounds=1)
+    return ln.link_lines(old, new.drop("true_old_line"), old.select(*place), new.select(*place))
 
 
 def _function_lines(spark: SparkSession, folder: str):
@@ -425,9 +425,9 @@ _fallback_query(5, False, True)
 
 @query("line_link_with_functions")
 def line_link_with_functions(spark: SparkSession, folder: str) -> DataFrame:
-    """Line links per function pair: one round of the link steps, then all fallbacks."""
+    """Line links per function pair: the link steps until dry, then all fallbacks."""
     old, new, func_map, links, _ = _function_lines(spark, folder)
-    return function_lines.link_lines_with_functions(old, new, func_map, links, max_rounds=1)
+    return function_lines.link_lines_with_functions(old, new, func_map, links)
 
 
 SCORES = f"""
