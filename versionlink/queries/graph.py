@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from versionlink.functions.text import file_name
-from versionlink.operators.assign import Tier, unique_mutual_best
+from versionlink.operators.assign import Tier, retire, unique_mutual_best
 from versionlink.plans import blocks, items, overlap, project
 from versionlink.plans.pipeline import Version, link_versions
 from versionlink.queries import fixtures as fx
@@ -170,6 +170,37 @@ def block_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scores.withColumn("jump_diff_score", F.col("jump_diff_score").cast("double"))
 
 
+# Candidates as link_blocks takes them: the scored pairs of blocks with linked items, whatever their counts.
+SCORED = f"""{HASHED}, {ITEMS}, {item_rounds(8)},
+  cand as (select distinct old_fid, old_bid, new_fid, new_bid from imap
+           where (old_fid,old_bid) not in (select (old_fid,old_bid) from seed) and (new_fid,new_bid) not in (select (new_fid,new_bid) from seed))"""
+
+
+def _scored_votes(spark: SparkSession, folder: str, via: str, to: str) -> DataFrame:
+    old, new, old_edge, new_edge, func_map = _sides(spark, folder)
+    seed = settle(blocks.link_blocks_by_hash(func_map, old, new))
+    scored = blocks.block_scores(items.link_items(_item_candidates(spark, folder)))
+    return blocks.neighbour_votes(retire(scored, seed, blocks.OLD, blocks.NEW), seed, old_edge, new_edge, via, to)
+
+
+@query("block_successor_votes_scored", f"with {SCORED}, {votes_sql('src', 'dst')} select * from v_dst")
+def successor_votes_scored(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored_votes(spark, folder, "src", "dst")
+
+
+@query("block_predecessor_votes_scored", f"with {SCORED}, {votes_sql('dst', 'src')} select * from v_src")
+def predecessor_votes_scored(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored_votes(spark, folder, "dst", "src")
+
+
+@query("block_link_by_votes_scored", f"""
+  with {SCORED}, {votes_sql('src', 'dst')} select * from (with
+  {unique_rounds("v_dst", "old_fid,old_bid", "new_fid,new_bid", ["votes"], 1, "old_fid, old_bid, new_fid, new_bid")} select * from won)""")
+def link_by_votes_scored(spark: SparkSession, folder: str) -> DataFrame:
+    votes = settle(_scored_votes(spark, folder, "src", "dst"))
+    return unique_mutual_best(votes, blocks.OLD, blocks.NEW, [Tier("votes")]).select(*blocks.BLOCKS)
+
+
 @query("block_links")
 def block_links(spark: SparkSession, folder: str) -> DataFrame:
     """Hash links, then item scores and neighbour votes until dry."""
