@@ -242,10 +242,8 @@ def _by_difference(labelled: DataFrame, sets: DataFrame, links: DataFrame, perce
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 80, length: int = SHINGLE, coordinates: int = COORDINATES
-) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept`` at ``percent`` per hundred or more."""
+def _marked(docs: DataFrame, percent: int, length: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
+    """One row per document: ``doc_id, row, n_shingles, label``; ``label`` names the component (null: empty set)."""
     matches = least_matches(percent, coordinates)
     rows = docs.select("doc_id", "text")
     made = stored(sketch(rows, length, coordinates))
@@ -282,9 +280,16 @@ def near_duplicates(
     second = stored(second.join(tried, ["a", "b"], "left_anti"))
     labels = components(links.unionByName(stored(_linked(second, classes, sets, matches, percent))))
 
-    marked = made.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "class").alias("label")
+    return made.join(labels.withColumnRenamed("node", "class"), "class", "left").select(
+        "doc_id", "row", "n_shingles", F.coalesce("label", "class").alias("label")
     )
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = 80, length: int = SHINGLE, coordinates: int = COORDINATES
+) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept`` at ``percent`` per hundred or more."""
+    marked = _marked(docs, percent, length, coordinates).drop("row")
     least = marked.filter("label is not null").groupBy("label").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("n")
     ).filter("n > 1")
@@ -297,11 +302,18 @@ def near_duplicates(
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents without near-duplicates: of each component the least id stays, once.
 
+    Rows are told apart by ``row_key``: texts of different components stay even if they
+    share an id, and of different texts of one component with its least id one stays.
     Rows without an id cannot be named as copies and stay as they are.
     """
-    found = near_duplicates(docs, percent)
-    stay = found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    named = docs.join(stay, "doc_id", "inner")
+    marked = _marked(docs, percent).filter("doc_id is not null").drop("n_shingles")
+    first = marked.filter("label is not null").groupBy("label").agg(
+        F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")
+    ).filter("n > 1")
+    stay = marked.join(first, "label", "left").filter("first is null or row = first.row").select(
+        F.col("row").alias("_row")
+    ).groupBy("_row").agg(F.count("*").alias("_rows"))
+    named = docs.filter("doc_id is not null").withColumn("_row", row_key()).join(stay, "_row", "inner")
     once = named.filter("_rows = 1").drop("_rows")
-    again = named.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    again = named.filter("_rows > 1").drop("_rows").dropDuplicates(["_row"])
+    return once.drop("_row").unionByName(again.drop("_row")).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
