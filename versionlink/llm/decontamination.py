@@ -21,7 +21,8 @@ the segments. What reaches the bound is verified by an alignment that leaves the
 band's diagonals no further than k.
 
 The benchmark is small and is sent to the tasks in parts of ``PART_BYTES`` at most;
-a larger one takes a pass over the documents for each part. Texts are read whole
+a larger one takes a pass over the documents for each part, which is written
+before the next part is collected. Texts are read whole
 and pass in blocks; nothing is shuffled.
 
 Row cases: null or blank texts and items match nothing, items under ``LEAST``
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import small_batches, text_blocks
+from versionlink.llm.common import small_batches, stored, text_blocks
 from versionlink.llm.hashing import BYTE, run_hashes
 
 Q = 12
@@ -232,14 +233,14 @@ def find(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]
         yield t, k, segments, edits
 
 
-def _parts(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of bounded size that cover the benchmark together."""
+def _parts(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes of bounded size that cover the benchmark together, and whether there are several."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + 2 * size // PART_BYTES if size > PART_BYTES else 1
     for part in range(parts):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else rows
-        yield index([tuple(r) for r in own.sort("item_id", "text").collect()])
+        yield index([tuple(r) for r in own.sort("item_id", "text").collect()]), parts > 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -262,8 +263,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
 
     found = None
-    for part in _parts(benchmark):
-        found = scan(part) if found is None else found.unionByName(scan(part))
+    for part, several in _parts(benchmark):
+        own = stored(scan(part)) if several else scan(part)
+        found = own if found is None else found.unionByName(own)
+        del part  # its scan is written, so only one index is held
     return found
 
 
@@ -280,6 +283,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return rows.mapInArrow(run, rows.schema)
 
-    for part in _parts(benchmark):
-        docs = scan(docs, part)
+    for part, several in _parts(benchmark):
+        docs = stored(scan(docs, part)) if several else scan(docs, part)
+        del part
     return docs
