@@ -6,7 +6,9 @@ text. The field tags the words of a text as begin, inside or outside of a secret
 of the file; decoding is exact Viterbi. Tagged spans that touch no base span are added.
 
 The field is trained here, by gradient ascent on the penalised likelihood of
-windows labelled by the base spans. A pass over all texts makes the windows;
+windows labelled by the base spans. A pass over all texts makes the windows, per text at
+most ``PER_TEXT`` around base spans and as many around other unusual words, those with the
+least hash of id and place, and one at its middle;
 the ``WINDOWS`` with spans and as many without, in the order of a hash of id and
 place, are the bounded sample it is fitted on. Windows with an unlabelled word that
 looks like a secret are left out, for it may be one.
@@ -249,6 +251,17 @@ def _tags_of(words: Words, k: int, text: str, raw: bytes, spans) -> np.ndarray:
     return tags
 
 
+def _key(doc_id: int | None, at: int, size: int) -> int:
+    return zlib.crc32(f"{doc_id}:{at}:{size}".encode())
+
+
+def _sampled(places: np.ndarray, doc_id: int | None, size: int) -> list[int]:
+    """The ``PER_TEXT`` places with the least hash of id and place, in their order."""
+    if len(places) <= PER_TEXT:
+        return places.tolist()
+    return sorted(sorted(places.tolist(), key=lambda at: (_key(doc_id, at, size), at))[:PER_TEXT])
+
+
 def windows(docs: DataFrame) -> DataFrame:
     """``key, found, masks, tags``: windows around base spans, and around other words that are not ordinary."""
     small_batches(docs.sparkSession)
@@ -263,14 +276,14 @@ def windows(docs: DataFrame) -> DataFrame:
                 text = raw.decode()
                 spans = base_spans(text)
                 tags = _tags_of(words, k, text, raw, spans)
-                inside = np.flatnonzero(tags == BEGIN)[:PER_TEXT]
-                odd = np.flatnonzero((own & _NEAR > 0) & (tags == OUTSIDE))[:PER_TEXT]
+                inside = _sampled(np.flatnonzero(tags == BEGIN), doc_id, len(raw))
+                odd = _sampled(np.flatnonzero((own & _NEAR > 0) & (tags == OUTSIDE)), doc_id, len(raw))
                 for at in [*inside, *odd, *([len(own) // 2] if len(own) else [])]:
                     low, high = max(0, at - AROUND), at + AROUND + 1
                     part = tags[low:high]
                     if ((own[low:high] & _ALIKE > 0) & (part == OUTSIDE)).any():
                         continue
-                    key = zlib.crc32(f"{doc_id}:{at}:{len(raw)}".encode())
+                    key = _key(doc_id, at, len(raw))
                     out.append((key, bool(part.any()), own[low:high].tolist(), part.tolist()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_()),
