@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versionlink.llm import chat, decontamination, language, lines, minhash, personal, repeats, sampling, secrets, sharding
+from versionlink.llm import chat, decontamination, language, lines, minhash, personal, repeats, resampling, sampling, secrets
+from versionlink.llm import sharding, spelling, topk
 from versionlink.llm.common import table
 from versionlink.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -209,3 +210,110 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_context_bootstrap")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal(table(spark, sf_dir, "documents"))
+
+
+# The checksum of a text's UTF-8 bytes, from its table of 256 entries.
+_CRC_TABLE = """crc_table as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select unnest(range(256)) as i)
+  )
+)"""
+
+
+def _crc(text: str) -> str:
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint"
+    numbers = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: {byte})"
+    return (f"xor(list_reduce(list_prepend(4294967295, {numbers}), "
+            "lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = f"""
+with {_CRC_TABLE}, w as (
+  select 0 as kind, doc_id, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word from documents
+  union all
+  select 1, null, unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) from benchmark
+), b as (select word, {_crc("word")} % 10000 as bucket from (select distinct word from w), crc_table),
+c as (
+  select bucket, count(*) filter (kind = 0) as s, count(*) filter (kind = 1) as t from w join b using (word) group by 1
+), g as (
+  select bucket, floor(1000 * ln((t + 1)::double * ((sum(s) over ())::double + 10000) /
+    ((s + 1)::double * ((sum(t) over ())::double + 10000)))) as gain from c
+), m as (
+  select doc_id, count(*) as n_features, floor(sum(gain) / count(*))::bigint as weight
+  from w join b using (word) join g using (bucket) where kind = 0 group by 1
+), d as (
+  select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::varchar, 'null')), 8))::bigint + 0.5)
+      / 4294967296)))::bigint as score
+  from documents left join m using (doc_id)
+), r as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () * 10 // 100 as drawn
+  from d where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when rank <= drawn then rank end as rank from d left join r using (doc_id)
+"""
+
+
+@query("op11_resample", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return rows.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), p as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
+)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p
+) where rank <= 5
+"""
+
+
+@query("op12_sorted_lists", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+# Near words share what is left after taking out one letter; the distance counts code points once
+# U+00C0 to U+00FF are written as the 64 characters from ! to `, which no word holds.
+_BEYOND = "".join(map(chr, range(0xC0, 0x100)))
+_ASCII = "".join(map(chr, range(0x21, 0x61))).replace("'", "''")
+OP13_SQL = f"""
+with recursive {_CRC_TABLE}, runs as (
+  select doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) as run from documents
+), hashed as (
+  select run, n, {_crc("(coalesce(doc_id::varchar, 'null') || ':' || run)")} as h
+  from (select doc_id, run, count(*) as n from runs group by 1, 2), crc_table
+), v as (
+  select word, sum(n)::bigint as n from (
+    select n, case when h % 31 = 0 then left(run, (h % len(run))::int) || substr(run, (h % len(run))::int + 2) else run end as word
+    from hashed
+  ) where len(word) >= 7 group by 1 having sum(n) >= 2
+), s as (
+  select word, n, unnest(list_distinct(list_prepend(word,
+    list_transform(range(1, len(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1))))) as part from v
+), pairs as (select distinct x.word, y.word as near, x.n, y.n as near_n from s x join s y on x.part = y.part and x.word <> y.word),
+near as (
+  select * from pairs
+  where levenshtein(translate(word, '{_BEYOND}', '{_ASCII}'), translate(near, '{_BEYOND}', '{_ASCII}')) = 1
+), best as (
+  select word, n, count(*) as n_near, arg_min(near, (-near_n, near)) as form, max(near_n) as form_n from near group by 1, 2
+), links as (select word, form from best where form_n >= 10 * n),
+walk(word, last) as (select word, word from v union all select walk.word, form from walk join links on links.word = walk.last),
+ends as (select word, last as root from walk where last not in (select word from links))
+select v.word, links.form, root, v.n, coalesce(n_near, 0) as n_near, case when links.form is not null then form_n end as form_n
+from v left join best on best.word = v.word left join links on links.word = v.word join ends on ends.word = v.word
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
