@@ -13,8 +13,10 @@ from versionlink.functions.text import without_line_comment, words
 from versionlink.operators.assign import Tier, retire, rounds_of_unique_best, single_on_both
 from versionlink.operators.bounds import FIRST, LAST, mutual_inside, ranked_bounds, tight_bounds
 from versionlink.operators.closest import closest
+from versionlink.operators.components import connected
 from versionlink.operators.fill import unlinked_between
 from versionlink.operators.ranges import contain_join
+from versionlink.plans.line_parts import PART_LINES, link_parts
 from versionlink.plans.paths import link_paths_by_content, link_paths_by_name
 from versionlink.session import compact, settle, union_all
 
@@ -237,83 +239,145 @@ def largest_line(*sides: DataFrame) -> int:
 
 
 def link_lines(old_src: DataFrame, new_src: DataFrame, old_lines: DataFrame, new_lines: DataFrame,
-               max_rounds: int | None = None) -> DataFrame:
+               part_lines: int = PART_LINES) -> DataFrame:
     """All line links of two versions.
 
     Paths are linked by name first. Equal lines are linked until dry, then paths
     are linked again by the content of what is left, until such a link brings
     nothing. Then only the listed lines go on, with the fuzzy step added.
+
+    Paths that links or path links connect form a part; steps of different parts do not touch
+    each other. After the first pass only parts go on that a new path link or new line links
+    reached. A part of up to ``part_lines`` lines runs its steps in one task, larger ones by rounds of joins.
     """
     old_src, new_src = settle(old_src), settle(new_src)
     top = largest_line(old_src, new_src)
-    comments = has_comments(old_src, new_src)
     by_name = settle(link_paths_by_name(old_src.select("path"), new_src.select("path")))
-    found = [no_links(old_src.sparkSession), *_named_steps(old_src, new_src, by_name, top, max_rounds, comments)]
-    rounds, used = 0, len(found) > 1
-    more_rounds = lambda: max_rounds is None or rounds < max_rounds
-    open_old, open_new, path_map = old_src, new_src, by_name
-
-    def equal_steps(old: DataFrame, new: DataFrame) -> bool:
-        won = [settle(link_equal_unique(old, new, path_map, top=top, comments=comments))]
-        won.append(link_equal_repeated(old_src, new_src, union_all([*found, *won]), top, comments=comments))
-        won = [w for w in won if not w.isEmpty()]
-        found.extend(won)
-        return bool(won)
-
-    def still_open(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-        links = union_all(found)
-        return settle(unlinked(old, links, "old")), settle(unlinked(new, links, "new"))
-
-    while used and more_rounds():
-        rounds += 1
-        open_old, open_new = still_open(old_src, new_src)
-        path_map = settle(link_paths_by_content(open_old, open_new, top).select("old_path", "new_path"))
-        used = False
-        while more_rounds() and equal_steps(open_old, open_new):
-            used = True
-            rounds += 1
-            open_old, open_new = still_open(old_src, new_src)
-
-    rounds = 0
-    listed_old = settle(open_old.join(old_lines, ["path", "line"], "left_semi"))
-    listed_new = settle(open_new.join(new_lines, ["path", "line"], "left_semi"))
-    while more_rounds():
-        rounds += 1
-        if equal_steps(*still_open(listed_old, listed_new)):
-            continue
-        won = settle(link_fuzzy(old_src, new_src, old_lines, new_lines, union_all(found), top))
-        if won.isEmpty():
+    run = _Run(old_src, new_src, old_lines, new_lines, by_name, top, part_lines)
+    path_map = by_name
+    won = run.equal_steps(path_map, listed=False)
+    while won:
+        path_map = settle(link_paths_by_content(*run.open_lines(), top).select("old_path", "new_path"))
+        if path_map.isEmpty():
             break
-        found.append(won)
-    return union_all(found)
-
-
-def _named_steps(old_src: DataFrame, new_src: DataFrame, path_map: DataFrame, top: int,
-                 max_rounds: int | None, comments: bool = True) -> list[DataFrame]:
-    """The equal-line steps on paths linked by name, until dry.
-
-    Each old path has one new path here, so the old paths of one new path are a
-    part of their own: parts do not wait for each other, and a part that gave no
-    link in a round is finished.
-    """
-    found: list[DataFrame] = []
-    active, rounds = path_map, 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        of = lambda src, s: src.join(
-            active.select(F.col(f"{s}_path").alias("path")).distinct(), "path", "left_semi"
+        run.connect(path_map)
+        won = run.equal_steps(path_map, listed=False)
+    run.equal_steps(path_map, listed=True)
+    touched = None
+    while run.fuzzy_step(touched):
+        touched = run.touched
+        run.equal_steps(path_map, listed=True, parts=touched)
+    return union_all(run.found)
+
+
+class _Run:
+    """The links found so far, the parts of the paths, and the steps on some of the parts."""
+
+    def __init__(self, old_src: DataFrame, new_src: DataFrame, old_lines: DataFrame, new_lines: DataFrame,
+                 by_name: DataFrame, top: int, part_lines: int):
+        self.src = {"old": old_src, "new": new_src}
+        self.listed = {"old": settle(old_lines.select("path", "line").distinct()), "new": settle(new_lines.select("path", "line").distinct())}
+        self.top, self.part_lines = top, part_lines
+        self.comments = has_comments(old_src, new_src)
+        self.found = [no_links(old_src.sparkSession)]
+        self.touched: DataFrame | None = None
+        # a part is named after the new path that all its old paths are linked with
+        paths = lambda src: src.select("path").distinct()
+        named = by_name.select(F.col("old_path").alias("path"), F.col("new_path").alias("to"))
+        own = F.coalesce("to", F.concat(F.lit("\0"), "path"))
+        self.parts = settle(
+            paths(old_src).join(named, "path", "left").select(F.lit("old").alias("side"), "path", own.alias("part"))
+            .unionByName(paths(new_src).select(F.lit("new").alias("side"), "path", F.col("path").alias("part")))
         )
-        old, new = settle(of(old_src, "old")), settle(of(new_src, "new"))
-        links = union_all(found) if found else no_links(old_src.sparkSession)
-        open_old, open_new = settle(unlinked(old, links, "old")), settle(unlinked(new, links, "new"))
-        won = [settle(link_equal_unique(open_old, open_new, active, top=top, comments=comments))]
-        won.append(settle(link_equal_repeated(
-            old, new, union_all([*found, *won]), top, apart="new_path", comments=comments)))
-        won = [w for w in won if not w.isEmpty()]
-        if not won:
-            break
-        found = compact([*found, *won])
-        active = settle(active.join(union_all(won).select("new_path").distinct(), "new_path", "left_semi"))
-    return found
-
 
+    def part_of(self, s: str) -> DataFrame:
+        return self.parts.where(F.col("side") == s).select(F.col("path").alias(f"{s}_path"), F.col("part"))
+
+    def in_parts(self, path_map: DataFrame) -> DataFrame:
+        return path_map.join(self.part_of("old"), "old_path")
+
+    def connect(self, path_map: DataFrame) -> None:
+        """Join the parts that new path links lead between."""
+        ends = path_map.join(self.part_of("old").withColumnRenamed("part", "a"), "old_path").join(
+            self.part_of("new").withColumnRenamed("part", "b"), "new_path")
+        joined = connected(ends, "a", "b").select(F.col("node").alias("part"), F.col("part").alias("to"))
+        self.parts = settle(self.parts.join(joined, "part", "left").select("side", "path", F.coalesce("to", "part").alias("part")))
+
+    def open_lines(self) -> tuple[DataFrame, DataFrame]:
+        links = union_all(self.found)
+        return settle(unlinked(self.src["old"], links, "old")), settle(unlinked(self.src["new"], links, "new"))
+
+    def lines(self, parts: DataFrame, listed: bool) -> DataFrame:
+        """All lines of some parts with their links; ``asks`` marks those that take part in the unique step."""
+        links = union_all(self.found)
+        sides = []
+        for s, o in (("old", "new"), ("new", "old")):
+            own = self.part_of(s).join(parts, "part", "left_semi").withColumnRenamed(f"{s}_path", "path")
+            to = links.select(
+                F.col(f"{s}_path").alias("path"), F.col(f"{s}_line").alias("line"),
+                F.col(f"{o}_path").alias("to_path"), F.col(f"{o}_line").alias("to_line"))
+            rows = self.src[s].join(own, "path").join(to, ["path", "line"], "left")
+            if listed:
+                rows = rows.join(self.listed[s].withColumn("asks", F.lit(True)), ["path", "line"], "left")
+            asks = F.coalesce("asks", F.lit(False)) if listed else F.lit(True)
+            sides.append(rows.select(
+                "part", F.lit(s == "old").alias("old"), "path", "line", "code",
+                without_line_comment(F.col("code")).alias("bare"), asks.alias("asks"), "to_path", "to_line"))
+        return sides[0].unionByName(sides[1])
+
+    def equal_steps(self, path_map: DataFrame, listed: bool, parts: DataFrame | None = None) -> bool:
+        """Run the equal-line steps until dry; without ``parts``, on those that ``path_map`` is in."""
+        pairs = self.in_parts(path_map)
+        if parts is not None:
+            pairs = pairs.join(parts, "part", "left_semi")
+        parts = pairs.select("part").distinct() if parts is None else parts
+        lines = settle(self.lines(parts, listed))
+        sizes = lines.groupBy("part").agg(F.count("*").alias("n"))
+        total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+        if not total:
+            return False
+        won = []
+        if largest > self.part_lines:
+            large = settle(sizes.where(F.col("n") > self.part_lines).select("part"))
+            within = lambda df: df.join(large, "part", "left_semi")
+            won.append(self.rounds(within(lines), within(pairs), listed))
+            lines, pairs = lines.join(large, "part", "left_anti"), pairs.join(large, "part", "left_anti")
+        won.append(settle(link_parts(lines, pairs.select("part", "old_path", "new_path"), total)))
+        self.touched = settle(union_all([w.select("part") for w in won]).distinct())
+        self.found = compact([*self.found, *[w.select(*LINK) for w in won]])
+        return not self.touched.isEmpty()
+
+    def rounds(self, lines: DataFrame, pairs: DataFrame, listed: bool) -> DataFrame:
+        """The steps as rounds of joins, for parts of any size; a part without a new link is finished."""
+        pairs, lines = settle(pairs), settle(lines)
+        found = [no_links(lines.sparkSession)]
+        links = lines.where("old and to_path is not null").select(
+            F.col("path").alias("old_path"), F.col("line").alias("old_line"),
+            F.col("to_path").alias("new_path"), F.col("to_line").alias("new_line"))
+        while True:
+            sides = [lines.where(F.col("old") == old).select("path", "line", "code", "asks") for old in (True, False)]
+            all_links = settle(links.unionByName(union_all(found)))
+            asking = [settle(unlinked(side.where("asks").drop("asks"), all_links, s)) for side, s in zip(sides, ("old", "new"))]
+            won = [settle(link_equal_unique(*asking, pairs, top=self.top, comments=self.comments))]
+            won.append(link_equal_repeated(*[side.drop("asks") for side in sides], union_all([all_links, *won]), self.top,
+                                           comments=self.comments))
+            won = [w for w in won if not w.isEmpty()]
+            if not won:
+                return self.in_parts(union_all(found)).select("part", *LINK)
+            found = compact([*found, *won])
+
+    def fuzzy_step(self, parts: DataFrame | None) -> bool:
+        """The fuzzy step, on all parts or on some."""
+        links = union_all(self.found)
+        src, listed = dict(self.src), dict(self.listed)
+        if parts is not None:
+            for s in src:
+                own = self.part_of(s).join(parts, "part", "left_semi").select(F.col(f"{s}_path").alias("path"))
+                src[s], listed[s] = (df.join(own, "path", "left_semi") for df in (src[s], listed[s]))
+            links = links.join(self.part_of("old").join(parts, "part", "left_semi"), "old_path", "left_semi")
+        won = settle(link_fuzzy(src["old"], src["new"], listed["old"], listed["new"], settle(links), self.top))
+        if won.isEmpty():
+            return False
+        self.found = compact([*self.found, won])
+        self.touched = settle(self.in_parts(won).select("part").distinct())
+        return True
