@@ -10,9 +10,9 @@ least ``SUPPORT`` seeds' worth mark their other instances as spans of kind ``con
 
 Places come from splitting a text at its matches and adding up lengths, in chunks,
 so a text with many matches stays cheap. Patterns are written without
-backtracking over long runs, with the same matches. Graph rows hold words, not texts;
-a frequent pattern is aggregated before it is shuffled, and joins leave it to Spark
-to split it.
+backtracking over long runs, with the same matches: a run is tried at its beginning
+and behind the last match, nowhere else. Graph rows hold words, not texts; a frequent pattern is
+aggregated before it is shuffled, and joins deal its instances to ``SALTS`` keys.
 
 Row cases: null text counts as empty. Every row is scanned alone; equal rows get equal
 spans. Copies add no weight to the graph, which counts different instances. An
@@ -28,7 +28,7 @@ from versionlink.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -41,8 +41,12 @@ ROUNDS = 3
 CONFIDENT = 0.8
 SUPPORT = 3.0
 LEAST = 6
+FOCUS = 0.5
+SALTS = 32
 NEAR = 120
 CHUNK = 256
+# Run lengths of digits and the sign of their class, longest first.
+DIGIT_RUNS = ((20, "E"), (16, "D"), (8, "C"), (4, "B"), (1, "A"))
 
 
 def _matches(text: Column, may: str, pattern: str) -> Column:
@@ -124,6 +128,13 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows
 
 
+def _shape(value: Column) -> Column:
+    shape = F.lower(value)
+    for least, sign in DIGIT_RUNS:
+        shape = F.regexp_replace(shape, f"[0-9]{{{least},}}", sign)
+    return F.regexp_replace(shape, "[^A-E@.+-]+", "a")
+
+
 def _instances(rows: DataFrame) -> DataFrame:
     """``instances``: the trimmed words with a digit or ``@``, their place, shape, contexts and whether they are seeds."""
     name = "instances"
@@ -132,11 +143,11 @@ def _instances(rows: DataFrame) -> DataFrame:
 
     def instance(x: Column) -> Column:
         lead = F.char_length(F.regexp_extract(x["value"], "^[^0-9A-Za-z+]*", 0))
-        value = F.regexp_replace(x["value"], "^[^0-9A-Za-z+]+|[^0-9A-Za-z]+$", "")
+        value = F.regexp_replace(x["value"], r"^[^0-9A-Za-z+]++|(?:\G|(?<![^0-9A-Za-z]))[^0-9A-Za-z]++$", "")
         start = x["start"] + lead
         return F.struct(
             F.lower(value).alias("value"), start.alias("start"), (start + F.char_length(value)).alias("end"),
-            F.regexp_replace(F.regexp_replace(F.lower(value), "[0-9]+", "9"), "[^9@.+-]+", "a").alias("shape"),
+            _shape(value).alias("shape"),
             F.regexp_extract(F.lower(x["gap"]), rf"({word})[^\p{{L}}\p{{N}}]*$", 1).alias("before"),
             F.regexp_extract(F.lower(x["then"]), rf"^[^\p{{L}}\p{{N}}]*({word})", 1).alias("after"),
         )
@@ -146,19 +157,33 @@ def _instances(rows: DataFrame) -> DataFrame:
     return rows.withColumn(name, F.transform(name, lambda x: F.struct(
         x["value"], x["start"], x["end"],
         F.exists(base, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])).alias("seed"),
-        F.array(
-            F.concat_ws(" ", F.lit("before"), x["before"], x["shape"]),
-            F.concat_ws(" ", F.lit("after"), x["after"], x["shape"]),
-            F.concat_ws(" ", F.lit("both"), x["before"], x["after"], x["shape"]),
-        ).alias("patterns"),
+        F.transform(F.array(
+            F.concat_ws(" ", F.lit("before"), x["before"]), F.concat_ws(" ", F.lit("after"), x["after"]),
+            F.concat_ws(" ", F.lit("both"), x["before"], x["after"]),
+        ), lambda words: F.struct(words.alias("words"), x["shape"].alias("shape"))).alias("patterns"),
     )))
 
 
+def _salted(rows: DataFrame, *of: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), *of), F.lit(SALTS)))
+
+
+def _to_salts(patterns: DataFrame) -> DataFrame:
+    return patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+
+
 def confident_patterns(
-    edges: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: float = SUPPORT
+    edges: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: float = SUPPORT, focus: float = FOCUS
 ) -> DataFrame:
-    """``pattern``: those that score high on the graph ``pattern, value, seed``."""
-    edges = stored(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
+    """``pattern``: those that score high on the graph ``pattern, value, seed``, a pattern being ``words, shape``."""
+    edges = stored(_salted(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "value"))
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    beside = sizes.groupBy(F.col("pattern.words").alias("words")).agg(F.sum("n").alias("all"))
+    focused = stored(
+        sizes.filter(F.col("n") >= support).withColumn("words", F.col("pattern.words")).join(beside, "words")
+        .filter(F.col("n") >= focus * F.col("all")).select("pattern")
+    )
+    edges = edges.join(_to_salts(focused), ["pattern", "salt"], "left_semi")
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for turn in range(rounds):
         patterns = scored.groupBy("pattern").agg(
@@ -167,7 +192,7 @@ def confident_patterns(
         if turn == rounds - 1:
             break
         patterns = patterns.filter((F.col("worth") >= support) & (F.col("trust") > 0)).select("pattern", "trust")
-        values = edges.join(patterns, "pattern").groupBy("value").agg(
+        values = edges.join(_to_salts(patterns), ["pattern", "salt"]).groupBy("value").agg(
             F.round(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))), 9).alias("found")
         )
         scored = stored(edges.join(values, "value", "left").withColumn(
@@ -177,7 +202,7 @@ def confident_patterns(
 
 
 def find_personal(
-    docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: float = SUPPORT
+    docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: float = SUPPORT, focus: float = FOCUS
 ) -> DataFrame:
     """Per row ``doc_id``, the counts of each kind, ``base_sha256`` and ``spans``."""
     found = stored(
@@ -186,8 +211,8 @@ def find_personal(
     each = found.select("row", F.explode("instances").alias("x")).select(
         "row", "x.value", "x.start", "x.end", "x.seed", F.explode("x.patterns").alias("pattern")
     )
-    good = confident_patterns(each.select("pattern", "value", "seed"), rounds, confident, support)
-    more = each.filter("not seed").join(good, "pattern").groupBy("row").agg(
+    good = confident_patterns(each.select("pattern", "value", "seed"), rounds, confident, support, focus)
+    more = _salted(each.filter("not seed"), "row", "start").join(_to_salts(good), ["pattern", "salt"]).groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("context")  # of one text
     )
     rows = found.drop("instances").join(more, "row", "left")
