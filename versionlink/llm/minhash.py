@@ -3,7 +3,7 @@
 A document is its set of distinct word shingles. Its signature has ``COORDINATES``
 least values, and two sets of Jaccard similarity s agree in each coordinate with
 probability s. Two documents linked at ``percent`` per hundred therefore agree
-in at least ``matches`` coordinates, but for a chance below one in a million at
+in at least ``matches`` coordinates, but for a chance below one in a hundred thousand at
 the bound itself (see ``least_matches``), and far below it for closer texts.
 
 1. Equal sets form one class; signatures are made per class.
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versionlink.llm.common import row_key, small_batches, stored, text_blocks
+from versionlink.llm.common import small_batches, stored, text_blocks, wide_key
 from versionlink.llm.components import components
 from versionlink.llm.hashing import Words, mix, run_hashes
 
@@ -100,8 +100,8 @@ def sketch(docs: DataFrame, length: int = SHINGLE, coordinates: int = COORDINATE
                 ["doc_id", "row", "n_shingles", "class", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), "text").mapInArrow(
-        run, "doc_id long, row long, n_shingles long, class binary, signature array<long>"
+    return docs.select(F.col("doc_id").cast("long"), wide_key().alias("row"), "text").mapInArrow(
+        run, "doc_id long, row binary, n_shingles long, class binary, signature array<long>"
     )
 
 
@@ -142,7 +142,7 @@ def _prefix(classes: DataFrame, matches: int) -> DataFrame:
 def _sets_of(wanted: DataFrame, docs: DataFrame, sketches: DataFrame, length: int) -> DataFrame:
     """``class, items`` for the classes in ``wanted``, made anew from one text of each."""
     rows = sketches.join(wanted, "class").groupBy("class").agg(F.min("row").alias("row")).select("row")
-    texts = docs.withColumn("row", row_key()).join(rows, "row", "left_semi")
+    texts = docs.select(wide_key().alias("row"), "text").join(rows, "row", "left_semi")
     return _full_sets(texts, length).join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -302,18 +302,20 @@ def near_duplicates(
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents without near-duplicates: of each component the least id stays, once.
 
-    Rows are told apart by ``row_key``: texts of different components stay even if they
-    share an id, and of different texts of one component with its least id one stays.
-    Rows without an id cannot be named as copies and stay as they are.
+    Rows are told apart by ``wide_key``: texts of different components stay even if they
+    share an id, and of different texts of one component with its least id one stays; of equal rows
+    one. Rows without an id cannot be named as copies and stay as they are. A document's own
+    columns travel in a struct, so their names clash with nothing.
     """
     marked = _marked(docs, percent).filter("doc_id is not null").drop("n_shingles")
     first = marked.filter("label is not null").groupBy("label").agg(
         F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")
     ).filter("n > 1")
-    stay = marked.join(first, "label", "left").filter("first is null or row = first.row").select(
-        F.col("row").alias("_row")
-    ).groupBy("_row").agg(F.count("*").alias("_rows"))
-    named = docs.filter("doc_id is not null").withColumn("_row", row_key()).join(stay, "_row", "inner")
-    once = named.filter("_rows = 1").drop("_rows")
-    again = named.filter("_rows > 1").drop("_rows").dropDuplicates(["_row"])
-    return once.drop("_row").unionByName(again.drop("_row")).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    stay = marked.join(first, "label", "left").filter("first is null or row = first.row").groupBy("row").agg(
+        F.count("*").alias("rows")
+    )
+    named = docs.select(F.struct(*docs.columns).alias("doc"), wide_key().alias("row"), "doc_id").filter("doc_id is not null")
+    named = named.drop("doc_id").join(stay, "row")
+    once = named.filter("rows = 1").select("doc.*")
+    again = named.filter("rows > 1").dropDuplicates(["row"]).select("doc.*")
+    return once.unionByName(again).unionByName(docs.filter("doc_id is null")).select(*docs.columns)

@@ -18,7 +18,8 @@ ordered. Sources and measures form a small table that is joined to the rows.
 
 Row cases: null text has size 0, and size 0 is taken as 0 words. A null source
 is a source. Equal rows are taken or left together with their tie broken by
-id, then size; rows with null ids share one u. Without rows there is no result.
+id, then size; rows with null ids share one u. Without rows there is no result. A
+document's own columns travel in a struct, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ PARTS = 1024
 
 
 def _annotated(docs: DataFrame) -> DataFrame:
-    """``_size``, ``_measure`` and ``_u`` beside the rows."""
+    """``_size``, ``_measure`` and ``_u`` beside ``doc_id, text, source`` and what else the rows hold."""
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 13), 16, 10)
     return (
         docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
@@ -152,10 +153,8 @@ def _plan(docs: DataFrame, weights, percent, most) -> tuple[DataFrame, DataFrame
     return plan, stored(cuts)
 
 
-def with_copies(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST
-) -> DataFrame:
-    """The rows with ``_size, _source_size, _target, _copies`` beside their columns."""
+def _counted(docs: DataFrame, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
+    """``row`` (a struct of the document's own columns), ``size, source_size, target, copies``."""
     plan, cuts = _plan(docs, weights, percent, most)
     plan = plan.select(
         F.col("source").alias("_p"), F.col("measure").alias("_m"), F.col("source_size").alias("_source_size"),
@@ -164,20 +163,38 @@ def with_copies(
         cuts.select(F.col("source").alias("_c"), F.col("fine").alias("_cut"), F.col("place").alias("_place")),
         F.expr("_p <=> _c"), "left",
     )
-    rows = _ranked(_annotated(docs).join(plan, F.expr("source <=> _p and _measure = _m")))
+    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    rows = _ranked(_annotated(own).join(plan, F.expr("source <=> _p and _measure = _m")))
     place = F.struct(
         F.col("_q"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("_size").alias("size")
     )
     chosen = (F.col("_size") > 0) & (
         (F.col("_fine") < F.col("_cut")) | ((F.col("_fine") == F.col("_cut")) & (place <= F.col("_place")))
     )
-    return rows.withColumn(
-        "_copies", F.col("_whole") + F.coalesce(chosen, F.lit(False)).cast("int")
-    ).select(*docs.columns, "_size", "_source_size", "_target", "_copies")
+    return rows.select(
+        "row", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        (F.col("_whole") + F.coalesce(chosen, F.lit(False)).cast("int")).alias("copies"),
+    )
+
+
+def with_copies(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST
+) -> DataFrame:
+    """The rows with ``_size, _source_size, _target, _copies`` beside their columns.
+
+    Where a document has a column of such a name, the new one takes more underscores in front.
+    """
+    def free(name: str) -> str:
+        while name in docs.columns:
+            name = "_" + name
+        return name
+
+    added = [F.col(c).alias(free(f"_{c}")) for c in ("size", "source_size", "target", "copies")]
+    return _counted(docs, weights, percent, most).select("row.*", *added)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """The rows of the mix: every document as often as it is taken."""
-    rows = with_copies(docs, weights, percent, most)
-    turns = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return rows.filter("_copies > 0").withColumn("_turn", turns).select(*docs.columns)
+    rows = _counted(docs, weights, percent, most).filter("copies > 0")
+    turns = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return rows.select("row", turns.alias("turn")).select("row.*")
