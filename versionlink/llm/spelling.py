@@ -47,9 +47,11 @@ ONE_IN = 31
 PIECE = 5_000
 STATES = 2_048
 DISTINCT = 100_000
-STEP = 32
+STEP = 16
 END = 0  # the delimiter's symbol
 
+# Per place in a block of ``STEP`` symbols, those before it.
+INSIDE = np.arange(STEP) < np.arange(STEP)[:, None]
 _LETTER = np.array([0x61 <= b <= 0x7A for b in range(256)])
 
 
@@ -135,22 +137,27 @@ class _Side:
         last = text[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=symbols))])[:-1]
         blocks = n // STEP + 1
-        padded = np.full(blocks * STEP, -1, np.int64)
+        padded = np.full(blocks * STEP, symbols, np.uint8)  # letters of words are under 256
         padded[:n] = last
         self.blocks = padded.reshape(blocks, STEP)
-        held = np.zeros((blocks + 1, symbols), np.int64)
-        at, place = np.nonzero(self.blocks >= 0)
-        np.add.at(held, (at + 1, self.blocks[at, place]), 1)
-        self.held = np.cumsum(held, axis=0)
+        held = np.bincount(np.arange(n) // STEP * symbols + last, minlength=blocks * symbols).reshape(blocks, symbols)
+        self.held = (np.cumsum(held, axis=0) - held).astype(np.int32)
+        self.less = np.cumsum(self.held, axis=1, dtype=np.int32) - self.held
 
     def before(self, rank: np.ndarray) -> np.ndarray:
         """Per rank and symbol, how often the symbol stands before it."""
         block, inside = rank // STEP, rank % STEP
-        near = self.blocks[np.minimum(block, len(self.blocks) - 1)]
-        row, place = np.nonzero((np.arange(STEP) < inside[:, None]) & (near >= 0))
-        counted = np.bincount(row * self.symbols + near[row, place], minlength=len(rank) * self.symbols)
+        row, place = np.nonzero(INSIDE[inside])
+        counted = np.bincount(row * self.symbols + self.blocks[block[row], place], minlength=len(rank) * self.symbols)
         return self.held[block] + counted.reshape(len(rank), self.symbols)
 
+    def of(self, rank: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each rank's own symbol, and the symbols smaller than it, stand before the rank."""
+        block = rank // STEP
+        near, inside, own = self.blocks[block], INSIDE[rank % STEP], symbol[:, None]
+        count = lambda hit: np.bitwise_count((hit & inside).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        return self.held[block, symbol] + count(near == own), self.less[block, symbol] + count(near < own)
+
 
 class BidirectionalIndex:
     """FM-index of delimited distinct words and of their reverse, over the rotations of one cyclic text."""
@@ -177,6 +184,15 @@ class BidirectionalIndex:
         own = side.first + start
         return (other, own, sizes) if right else (own, other, sizes)
 
+    def step(self, low: np.ndarray, mirror: np.ndarray, count: np.ndarray, symbol: np.ndarray, right: bool) -> tuple[np.ndarray, ...]:
+        """The states after each state's own symbol."""
+        side = self.sides[right]
+        own, other = (mirror, low) if right else (low, mirror)
+        start, less = side.of(own, symbol)
+        end, less_end = side.of(own + count, symbol)
+        other, own, size = other + less_end - less, side.first[symbol] + start, end - start
+        return (other, own, size) if right else (own, other, size)
+
     def word_at(self, low: np.ndarray) -> np.ndarray:
         """Which word begins after the delimiter at these ranks."""
         return np.searchsorted(self.starts, self.sides[False].order[low])
@@ -203,16 +219,18 @@ def _near(index: BidirectionalIndex, queries: list[str], right: bool) -> tuple[n
 
     def match(state: tuple, symbol: np.ndarray) -> tuple:
         """States (query, place, low, mirror, count) that go on with their own symbol."""
-        query, place, low, mirror, count = state
-        after = index.steps(low, mirror, count, right)
-        rows = np.arange(len(query))
-        low, mirror, count = (a[rows, np.maximum(symbol, 0)] for a in after)
-        return pick((query, place + 1, low, mirror, count), (symbol >= 0) & (count > 0))
+        held = symbol >= 0
+        query, place, *interval = pick(state, held)
+        low, mirror, count = index.step(*interval, symbol[held], right)
+        return pick((query, place + 1, low, mirror, count), count > 0)
 
     pick = lambda state, which: tuple(a[which] for a in state)
     own = lambda state: letters[start[state[0]] + state[1]]
-    n = len(queries)
-    state = (np.arange(n), np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, index.size))
+    halves = [w[:k] for w, k in zip(order, exact.tolist())]
+    of_half: dict[str, int] = {}
+    first = [q for q, h in enumerate(halves) if of_half.setdefault(h, q) == q]  # a half is matched once
+    n = len(first)
+    state = (np.array(first, np.int64), np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, index.size))
     state = match(state, np.full(n, END))
     waiting, ready = state, []
     while len(waiting[0]):  # the exact half
@@ -222,6 +240,10 @@ def _near(index: BidirectionalIndex, queries: list[str], right: bool) -> tuple[n
         if len(waiting[0]):
             waiting = match(waiting, own(waiting))
     open_states = tuple(np.concatenate(a) for a in zip(*ready)) if ready else state
+    row_of = np.full(len(queries), -1)
+    row_of[open_states[0]] = np.arange(len(open_states[0]))
+    rows = row_of[[of_half[h] for h in halves]] if halves else row_of
+    open_states = (np.flatnonzero(rows >= 0), *(a[rows[rows >= 0]] for a in open_states[1:]))
     erred, pairs = [], []
     while len(open_states[0]):  # the other half, no error so far: each state sends off all single errors
         query, place, *_ = open_states
