@@ -2,19 +2,31 @@
 
 Texts are compared as distinct values, so copies are compared once. A value
 that the other side holds too is its own best partner and is not compared
-further by its side. What remains is scored in tiles; only the best score per
-value is kept and shuffled, never the scored pairs.
+further by its side. The rest is a best-first search. Blocks are cut into tiles by
+text length, so a few long texts fill no task, and a task searches its tiles: a value's
+partners are taken by falling bound of similarity, from lengths and counts of
+letters, and the search ends when the bound is under the best so far. A tile gives the
+best partners of each value in it only; the best of all tiles are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from versionlink.operators.pairing import block_join
-from versionlink.session import settle, union_all
+from versionlink.functions.edits import edit_distance
+from versionlink.operators.pairing import block_join, weighed_tiles
+from versionlink.session import settle
 
 GRAM = 2
 SMALL_BLOCK = 10_000
+# Cells of edit distances that one tile holds.
+TILE_CELLS = 1 << 32
+LETTERS = 32
+BEST_SCHEMA = "old boolean, id bigint, partner bigint, similarity double"
 
 
 def _similarity(a: Column, b: Column, least: Column | None = None) -> Column:
@@ -31,62 +43,114 @@ def _similarity(a: Column, b: Column, least: Column | None = None) -> Column:
     )
 
 
+def _letters(text: str) -> np.ndarray:
+    """How often each letter, by the last bits of its code point, stands in a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(points % LETTERS, minlength=LETTERS)
+
+
+class Texts:
+    """One side of a tile: ids, texts, which of them ask, and what bounds their similarity."""
+
+    def __init__(self, rows: list[tuple[int, str, bool]]):
+        self.ids, self.texts, self.asks = (list(c) for c in zip(*rows)) if rows else ([], [], [])
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.counts = np.array([_letters(t) for t in self.texts], np.int32).reshape(len(rows), LETTERS)
+
+    def best(self, at: int, other: "Texts") -> tuple[float, list[int]]:
+        """The best similarity of a text to those of ``other``, and all places that have it."""
+        text, size = self.texts[at], self.size[at]
+        surplus = np.maximum(self.counts[at] - other.counts, 0).sum(axis=1)
+        longest = np.maximum(np.maximum(size, other.size), 1)
+        # every surplus letter of either side takes an edit
+        bound = 1.0 - np.maximum(surplus, surplus - (size - other.size)) / longest
+        best, places = -1.0, []
+        for place in np.argsort(-bound, kind="stable").tolist():
+            if bound[place] < best:
+                break
+            length = int(longest[place])
+            most = None if best < 0 else int((1.0 - best) * length + 1e-6)
+            edits = edit_distance(text, other.texts[place], most)
+            if edits is None:
+                continue
+            similarity = 1.0 - edits / length
+            if similarity > best:
+                best, places = similarity, []
+            if similarity == best:
+                places.append(place)
+        return best, places
+
+
+def _search(rows: Iterable[tuple]) -> list[tuple]:
+    """Best partners in each tile of ``(tile, old, id, text, asks)``, as rows of ``BEST_SCHEMA``."""
+    tiles: dict[tuple, tuple[list, list]] = {}
+    for tile, old, *row in rows:
+        tiles.setdefault(tile, ([], []))[0 if old else 1].append(tuple(row))
+    found = []
+    for sides in tiles.values():
+        left, right = map(Texts, sides)
+        for own, other, old in ((left, right, True), (right, left, False)):
+            if not other.ids:
+                continue
+            for at, asks in enumerate(own.asks):
+                if asks:
+                    best, places = own.best(at, other)
+                    found += [(old, own.ids[at], other.ids[k], best) for k in places]
+    return found
+
+
+def _search_bucket(table: pa.Table) -> pa.Table:
+    tile = [tuple(t.values()) for t in table.column("__tile").to_pylist()]
+    found = _search(zip(tile, *[table.column(c).to_pylist() for c in ("__old", "id", "text", "asks")]))
+    values = list(zip(*found)) if found else [[]] * 4
+    types = [pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+    names = [c.split()[0] for c in BEST_SCHEMA.split(", ")]
+    return pa.table([pa.array(list(v), t) for v, t in zip(values, types)], names=names)
+
+
 def closest(left: DataFrame, right: DataFrame, block: list[str], l: str, r: str,
-            for_left: bool = True, for_right: bool = True) -> DataFrame:
+            for_left: bool = True, for_right: bool = True, tile_cells: int = TILE_CELLS) -> DataFrame:
     """All value pairs of a block that are best for at least one asked side.
 
     Returns ``block``, ``l``, ``r``, ``similarity``, ``best_left``,
-    ``best_right``; ties are all returned.
+    ``best_right``; ties are all returned. Null texts have no partner.
     """
-    own_l = left.select(*block, l).distinct()
-    own_r = right.select(*block, r).distinct()
-    flag = F.lit(True)
-    values_l = own_l.join(own_r.select(*block, F.col(r).alias(l), flag.alias("l_equal")), [*block, l], "left")
-    values_r = own_r.join(own_l.select(*block, F.col(l).alias(r), flag.alias("r_equal")), [*block, r], "left")
-    # both passes read the values, so they are computed once
-    values_l, values_r = settle(values_l), settle(values_r)
-    same = values_l.where("l_equal").select(
+    own_l = left.select(*block, l).where(F.col(l).isNotNull()).distinct()
+    own_r = right.select(*block, r).where(F.col(r).isNotNull()).distinct()
+
+    def values(own: DataFrame, other: DataFrame, c: str, o: str) -> DataFrame:
+        """Distinct values with a number, and whether the other side holds them."""
+        equal = other.select(*block, F.col(o).alias(c), F.lit(True).alias("equal"))
+        return settle(own.join(equal, [*block, c], "left").withColumn("id", F.monotonically_increasing_id()))
+
+    values_l, values_r = values(own_l, own_r, l, r), values(own_r, own_l, r, l)
+    same = values_l.where("equal").select(
         *block, l, F.col(l).alias(r), F.lit(1.0).alias("similarity"),
         F.lit(for_left).alias("best_left"), F.lit(for_right).alias("best_right"),
     )
-    open_l, open_r = values_l.where("l_equal is null"), values_r.where("r_equal is null")
-
-    def candidates(with_l: DataFrame, with_r: DataFrame, all_l: DataFrame, all_r: DataFrame) -> DataFrame:
-        parts = []
-        if for_left:
-            parts.append(block_join(with_l, all_r, block))
-        if for_right:
-            rest = all_l.where("l_equal") if for_left else all_l
-            parts.append(block_join(rest, with_r, block))
-        return union_all(parts)
-
-    scored = candidates(open_l, open_r, values_l, values_r).withColumn("__sim", _similarity(F.col(l), F.col(r)))
-    sets = [[*map(F.col, block), F.col(c)] for c in (l, r)]
-    best = settle(
-        scored.groupingSets(sets, *block, l, r).agg(F.max("__sim").alias("__best"))
-    )
-    best_l = best.where(F.col(l).isNotNull()).select(*block, l, F.col("__best").alias("l_best"))
-    best_r = best.where(F.col(r).isNotNull()).select(*block, r, F.col("__best").alias("r_best"))
-    # Only open values ask for a partner: the best of a value with an equal partner is that partner.
-    with_best = lambda values, top, col, eq, out: (
-        values.join(top, [*block, col], "left").withColumn(out, F.when(F.col(eq).isNull(), F.col(out)))
-    )
-    asked_l = with_best(values_l, best_l, l, "l_equal", "l_best")
-    asked_r = with_best(values_r, best_r, r, "r_equal", "r_best")
-    if not for_left:
-        asked_l = asked_l.withColumn("l_best", F.lit(None).cast("double"))
-    if not for_right:
-        asked_r = asked_r.withColumn("r_best", F.lit(None).cast("double"))
-    again = candidates(
-        asked_l.where("l_equal is null"), asked_r.where("r_equal is null"), asked_l, asked_r
+
+    def texts(side: DataFrame, c: str, asked: bool) -> DataFrame:
+        return side.select(
+            *block, "id", F.col(c).alias("text"), (F.col("equal").isNull() & F.lit(asked)).alias("asks"),
+            (F.length(c) + 1).alias("__weight"))
+
+    old, new = texts(values_l, l, for_left), texts(values_r, r, for_right)
+    asking = old.where("asks").select(*block).unionByName(new.where("asks").select(*block)).distinct()
+    only = lambda side: side.join(asking, block, "left_semi")
+    tiles, tasks = weighed_tiles(only(old), only(new), block, "__weight", tile_cells)
+    buckets = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+    bucket = F.pmod(F.xxhash64("__tile"), F.lit(buckets)).alias("bucket")
+    found = settle(tiles.select(bucket, "*").groupBy("bucket").applyInArrow(_search_bucket, BEST_SCHEMA))
+    best = found.groupBy("old", "id").agg(F.max("similarity").alias("best"))
+    found = found.join(best, ["old", "id"]).where("similarity = best")
+    pair = lambda old, a, b: F.when(F.col("old") == old, F.col(a)).otherwise(F.col(b))
+    pairs = found.groupBy(pair(True, "id", "partner").alias("__l"), pair(True, "partner", "id").alias("__r")).agg(
+        F.first("similarity").alias("similarity"), F.max(F.col("old")).alias("best_left"), F.max(~F.col("old")).alias("best_right"))
+    return (
+        pairs.join(values_l.select(*block, l, F.col("id").alias("__l")), "__l")
+        .join(values_r.select(r, F.col("id").alias("__r")), "__r")
+        .select(*block, l, r, "similarity", "best_left", "best_right").unionByName(same)
     )
-    least = F.least("l_best", "r_best")
-    again = again.withColumn("similarity", _similarity(F.col(l), F.col(r), least))
-    reached = again.withColumn(
-        "best_left", F.coalesce(F.col("similarity") == F.col("l_best"), F.lit(False))
-    ).withColumn("best_right", F.coalesce(F.col("similarity") == F.col("r_best"), F.lit(False)))
-    columns = [*block, l, r, "similarity", "best_left", "best_right"]
-    return reached.where("best_left or best_right").select(*columns).unionByName(same.select(*columns))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], l: str, r: str,
