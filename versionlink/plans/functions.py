@@ -118,18 +118,34 @@ def _after_level(old: DataFrame, new: DataFrame, won: DataFrame, level: Level) -
     return settle(open_old), settle(open_new)
 
 
+def _meeting(levels: list[Level], old: DataFrame, new: DataFrame) -> list[Level]:
+    """The levels at which some old and new row meet, profiled or not, found in one pass over the rows.
+
+    A level without such rows links nothing and leaves all rows open, and rows only get fewer, so it can be left out.
+    """
+    marks = F.explode(F.array(*[
+        F.struct(F.lit(level.name).alias("level"), F.array(*[F.col(c).cast("string") for c in level.block]).alias("key"))
+        for level in levels
+    ])).alias("at")
+    keys = lambda side: _with_parts(side).select(marks).where("not exists(at.key, v -> v is null)").select("at.*").distinct()
+    met = keys(old).unionByName(keys(new)).groupBy("level", "key").agg(F.count("*").alias("n")).where("n = 2")
+    names = {r["level"] for r in met.select("level").distinct().collect()}  # one row a level at most
+    return [level for level in levels if level.name in names]
+
+
 def _has_aliases(*sides: DataFrame) -> bool:
     return any(not s.groupBy("fid").count().where("count > 1").isEmpty() for s in sides)
 
 
 def _run(levels: list[Level], old: DataFrame, new: DataFrame, profiled: DataFrame, aliases: bool,
          max_rounds: int | None, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    for level in levels:
+    levels = _meeting(levels, old, new)
+    while levels:
+        level, *levels = levels
         won = link_level(old, new, profiled, level, aliases, max_rounds)
         found.append(won.withColumn("level", F.lit(level.name)))
         old, new = _after_level(old, new, won, level)
-        if old.isEmpty() or new.isEmpty():
-            break
+        levels = _meeting(levels, old, new) if levels else []
     return old, new
 
 
@@ -149,7 +165,10 @@ def link_functions_once(old: DataFrame, new: DataFrame, profiled: DataFrame,
         rivals: list[DataFrame] = []
         for route in ROUTES:
             _run(route, old, new, profiled, aliases, max_rounds, rivals)
-        found.append(_merge_routes(union_all(rivals), old, new, max_rounds))
+        if rivals:
+            found.append(_merge_routes(union_all(rivals), old, new, max_rounds))
+    if not found:
+        found = [_no_links(old)]
     links = union_all(found)
     names = profiled.select(F.col("fid").alias("old_fid"), F.col("func").alias("old_func"))
     return links.drop("old_func").join(names, "old_fid").select(
@@ -157,6 +176,12 @@ def link_functions_once(old: DataFrame, new: DataFrame, profiled: DataFrame,
     ).distinct()
 
 
+def _no_links(old: DataFrame) -> DataFrame:
+    return empty_like(old.select(
+        F.col("fid").alias("old_fid"), F.col("func").alias("old_func"), F.col("fid").alias("new_fid"),
+        F.col("func").alias("new_func"), F.lit("").alias("level")))
+
+
 def _merge_routes(rivals: DataFrame, old: DataFrame, new: DataFrame, max_rounds: int | None) -> DataFrame:
     """Pick one to one among the few pairs the routes proposed (at most two per row)."""
     level = ALL
