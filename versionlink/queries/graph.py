@@ -48,14 +48,14 @@ def block_hash_seed(spark: SparkSession, folder: str) -> DataFrame:
 
 CANDIDATES = """
   cand as (select old_fid, o.bid old_bid, new_fid, n.bid new_bid from fmap join old_n o on o.fid=old_fid join new_n n on n.fid=new_fid
-           where abs(o.cnt-n.cnt)<=20 and (old_fid,o.bid) not in (select (old_fid,old_bid) from seed) and (new_fid,n.bid) not in (select (new_fid,new_bid) from seed))"""
+           where (old_fid,o.bid) not in (select (old_fid,old_bid) from seed) and (new_fid,n.bid) not in (select (new_fid,new_bid) from seed))"""
 
 
 def _candidates(old: DataFrame, new: DataFrame, func_map: DataFrame, seed: DataFrame) -> DataFrame:
-    side = lambda f, s: f.select(F.col("fid").alias(f"{s}_fid"), F.col("bid").alias(f"{s}_bid"), F.col("cnt").alias(f"{s}_cnt"))
-    pairs = func_map.join(side(old, "old"), "old_fid").join(side(new, "new"), "new_fid").where("abs(old_cnt - new_cnt) <= 20")
+    side = lambda f, s: f.select(F.col("fid").alias(f"{s}_fid"), F.col("bid").alias(f"{s}_bid"))
+    pairs = func_map.join(side(old, "old"), "old_fid").join(side(new, "new"), "new_fid")
     pairs = pairs.join(seed.select(*blocks.OLD), blocks.OLD, "left_anti").join(seed.select(*blocks.NEW), blocks.NEW, "left_anti")
-    return pairs.select(*blocks.BLOCKS, "old_cnt", "new_cnt")
+    return pairs.select(*blocks.BLOCKS)
 
 
 def votes_sql(via: str, to: str) -> str:
@@ -209,15 +209,19 @@ def block_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 WIDE = f"""{SIDES},
-  wide as (select distinct o.fid old_fid, o.bid old_bid, n.fid new_fid, n.bid new_bid from old_n o join new_n n on n.hash=o.hash and n.fid//20=o.fid//20),
+  links as (select * from fmap union select distinct o.fid, n.fid from old_n o join new_n n on n.fid=o.fid+3),
+  wide as (select distinct old_fid, o.bid old_bid, new_fid, n.bid new_bid from links join old_n o on o.fid=old_fid join new_n n on n.fid=new_fid and n.hash=o.hash),
   cm as (select old_fid, concat('o',old_fid) old_func, new_fid, concat('n',new_fid) new_func from fmap)"""
 
 
 def _wide(spark: SparkSession, folder: str):
-    """Block links of the same hash between functions of nearby numbers."""
+    """Blocks of the same hash in functions with a primary or a secondary link; the primary links and new names."""
     old, new, _, _, func_map = _sides(spark, folder)
-    side = lambda f, s: f.select(F.col("fid").alias(f"{s}_fid"), F.col("bid").alias(f"{s}_bid"), "hash", F.expr("fid div 20").alias("near"))
-    bb_map = side(old, "old").join(side(new, "new"), ["hash", "near"]).select(*blocks.BLOCKS).distinct()
+    second = old.select(F.col("fid").alias("old_fid"), (F.col("fid") + 3).alias("new_fid")).distinct().join(
+        new.select(F.col("fid").alias("new_fid")).distinct(), "new_fid", "left_semi")
+    links = func_map.select("old_fid", "new_fid").unionByName(second)
+    side = lambda f, s: f.select(F.col("fid").alias(f"{s}_fid"), F.col("bid").alias(f"{s}_bid"), "hash")
+    bb_map = links.join(side(old, "old"), "old_fid").join(side(new, "new"), ["new_fid", "hash"]).select(*blocks.BLOCKS).distinct()
     name = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
     named = func_map.select("old_fid", name("old_fid", "o").alias("old_func"), "new_fid", name("new_fid", "n").alias("new_func"))
     new_names = new.select("fid", name("fid", "n").alias("func")).distinct()
