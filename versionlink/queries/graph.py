@@ -201,7 +201,58 @@ def link_by_votes_scored(spark: SparkSession, folder: str) -> DataFrame:
     return unique_mutual_best(votes, blocks.OLD, blocks.NEW, [Tier("votes")]).select(*blocks.BLOCKS)
 
 
-@query("block_links")
+def block_rounds(rounds: int) -> str:
+    """The rounds of block links one after the other: each takes the first step that gives links; the last must find nothing."""
+    both_ends = "old_fid,old_bid", "new_fid,new_bid"
+    place = "old_fid, old_bid, new_fid, new_bid"
+    ctes = []
+
+    def take(name: str, pairs: str, scores: list[str], unless: list[str]) -> None:
+        inner = unique_rounds(pairs, *both_ends, scores, 1, place)
+        test = " and ".join(f"not exists (select 1 from {u})" for u in unless) or "true"
+        ctes.append(f"{name} as materialized (select * from (with {inner} select * from won) where {test})")
+
+    def votes(name: str, via: str, to: str, pairs: str, links: str) -> None:
+        own = {"src": "bid", "dst": "next_bid"}
+        ctes.append(f"""{name} as materialized (select c.old_fid, c.old_bid, c.new_fid, c.new_bid, count(*) votes
+          from {pairs} c join old_n eo on eo.fid=c.old_fid and eo.{own[to]}=c.old_bid and eo.next_bid is not null
+          join {links} s on s.old_fid=eo.fid and s.old_bid=eo.{own[via]}
+          join new_n en on en.fid=s.new_fid and en.{own[via]}=s.new_bid and en.next_bid is not null and en.fid=c.new_fid and en.{own[to]}=c.new_bid
+          group by all)""")
+
+    def without(name: str, pairs: str, won: str) -> None:
+        tests = " and ".join(f"({end}) not in (select ({end}) from {won})" for end in both_ends)
+        ctes.append(f"{name} as materialized (select * from {pairs} where {tests})")
+
+    scores = blocks.SCORES
+    without("rest_0", "bsc", "seed")
+    links, rest = "seed", "rest_0"
+    for k in range(rounds):
+        steps = [f"s{i}_{k}" for i in range(5)]
+        take(steps[0], rest, scores[:2], [])
+        votes(f"after_{k}", "src", "dst", rest, links)
+        take(steps[1], f"after_{k}", ["votes"], steps[:1])
+        ctes.append(f"mid_{k} as materialized (select * from {links} union all select * from {steps[1]})")
+        without(f"open_{k}", rest, steps[1])
+        votes(f"before_{k}", "dst", "src", f"open_{k}", f"mid_{k}")
+        take(steps[2], f"before_{k}", ["votes"], steps[:1])
+        ctes.append(f"""both_{k} as materialized (select {place}, sum(votes)::bigint votes from
+          (select * from after_{k} union all select * from before_{k}) group by all)""")
+        take(steps[3], f"both_{k}", ["votes"], steps[:3])
+        take(steps[4], rest, scores, steps[:4])
+        ctes.append(f"won_{k} as materialized ({' union all '.join(f'select * from {step}' for step in steps)})")
+        ctes.append(f"links_{k} as materialized (select * from {links} union all select * from won_{k})")
+        without(f"rest_{k + 1}", rest, f"won_{k}")
+        links, rest = f"links_{k}", f"rest_{k + 1}"
+    last = f"won_{rounds - 1}"
+    return f"{', '.join(ctes)} select {place} from {links} union all select -1, -1, -1, -1 from {last}"
+
+
+@query("block_links", f"""
+  with {HASHED}, {ITEMS}, {item_rounds(8)},
+  bsc as materialized (select old_fid, old_bid, new_fid, new_bid, round(coalesce(sum(jump_func_score),0),6) jump_func_score, round(coalesce(sum(opcode_match_score),0),6) opcode_match_score,
+         coalesce(sum(jump_diff_score),0)::double jump_diff_score, round(coalesce(sum(operand_match_score),0),6) operand_match_score from imap group by all),
+  {block_rounds(8)}""")
 def block_links(spark: SparkSession, folder: str) -> DataFrame:
     """Hash links, then item scores and neighbour votes until dry."""
     old, new, old_edge, new_edge, func_map = _sides(spark, folder)

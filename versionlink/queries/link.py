@@ -292,7 +292,22 @@ def line_words(spark: SparkSession, folder: str) -> DataFrame:
     return ln.word_pairs(old, new, links, top)
 
 
-@query("line_link_words")
+def word_links_sql(rounds: int) -> str:
+    """Rounds on the word weight, then on weight and similarity of what is left; the last ones must find nothing."""
+    ends, columns = ("old_path,old_line", "new_path,new_line"), "old_path, old_line, new_path, new_line"
+    free = " and ".join(f"({end}) not in (select ({end}) from first_links)" for end in ends)
+    return f"""
+      with {BOUNDS}, {words_sql('old')}, {words_sql('new')},
+      weighed as materialized (select old_path, old_line, new_path, new_line, o.code old_code, n.code new_code,
+             round(sum(length(word)::double/greatest(length(o.code),length(n.code))),10) len
+        from k_old o join k_new n using (old_path,new_path,word,k) where {INSIDE} group by all),
+      first_links as materialized (select * from (with {unique_rounds("weighed", *ends, ["len"], rounds, columns)} select * from won)),
+      rest as materialized (select *, {edit('old_code', 'new_code')} similarity from weighed where {free}),
+      second_links as (select * from (with {unique_rounds("rest", *ends, ["len", "similarity"], rounds, columns)} select * from won))
+      select * from first_links union all select * from second_links"""
+
+
+@query("line_link_words", word_links_sql(10))
 def line_link_words(spark: SparkSession, folder: str) -> DataFrame:
     old, new, _, links, top = _base(spark, folder)
     return ln.link_by_words(old, new, links, top)
