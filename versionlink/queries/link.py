@@ -154,7 +154,29 @@ def nearest_calls_in_file(spark: SparkSession, folder: str) -> DataFrame:
     return project.nearest_calls_in_file(side(old), side(new))
 
 
-@query("nearest_parts_in_file")
+@query("nearest_calls_of_same_size", f"with {fx.FUNCTIONS}, {CALLS.replace('o.basename=n.basename', 'o.basename=n.basename and o.line%4=n.line%4')}, {ordered_rounds('pairs')} select * from won")
+def nearest_calls_of_same_size(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``nearest_calls_in_file``, but only functions of as many blocks meet."""
+    old, new, _ = _functions(spark, folder)
+    side = lambda f: f.withColumn("file", F.col("basename")).withColumn("blocks", F.col("line") % 4)
+    return project.nearest_calls_in_file(side(old), side(new), same_size=True)
+
+
+def _fraction(a: str, b: str) -> str:
+    return f"case when {a}={b} then 0 else levenshtein({a},{b})::double/greatest(length({a}),length({b})) end"
+
+
+# the extensions here are one word or none, so they are equal or one text apart
+PARTS = f"""
+  pairs as materialized (
+    select old_fid, old_func, new_fid, new_func,
+           rank() over (order by case when d>0.5 then 1 else d end, case when d>0.5 then (p+1)/2 else p end, e, old_func desc, new_func desc) rank
+    from (select o.fid old_fid, o.func old_func, n.fid new_fid, n.func new_func, case when o.extension=n.extension then 0 else 1 end e,
+                 ({_fraction('o.namespace', 'n.namespace')} + {_fraction('o.basename', 'n.basename')})/2 d, {_fraction('o.parameters', 'n.parameters')} p
+          from old_f o join new_f n on regexp_replace(o.path,'\\.[^.]*$','')=regexp_replace(n.path,'\\.[^.]*$','')))"""
+
+
+@query("nearest_parts_in_file", f"with {fx.FUNCTIONS}, {PARTS}, {ordered_rounds('pairs')} select * from won")
 def nearest_parts_in_file(spark: SparkSession, folder: str) -> DataFrame:
     """Greedy one-to-one links by (name, parameters, suffix) distance inside a file stem."""
     old, new, _ = _functions(spark, folder)
