@@ -26,7 +26,8 @@ def cross_rows(bb_map: DataFrame, func_map: DataFrame, multi_map: DataFrame) ->
 
 
 def write_rows(rows: DataFrame, path: str) -> None:
-    rows.write.csv(path, header=False)
+    """Write a link table; a rerun, also after a write that was killed, leaves one copy."""
+    rows.write.mode("overwrite").csv(path, header=False)
 
 
 def info_lines(info: DataFrame) -> DataFrame:
