@@ -129,12 +129,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_pareto_mix", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.with_copies(table(spark, sf_dir, "documents"))
+    rows = sampling.counted(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
     return rows.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), "source", F.col("_copies").alias("copies"),
-        (F.col("_copies") * F.col("_size")).alias("taken"),
-    )
+        "row.doc_id", "size", "source_size", "target", "row.source", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 @query("op8_gram_lemma")

@@ -153,8 +153,13 @@ def _plan(docs: DataFrame, weights, percent, most) -> tuple[DataFrame, DataFrame
     return plan, stored(cuts)
 
 
-def _counted(docs: DataFrame, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
-    """``row`` (a struct of the document's own columns), ``size, source_size, target, copies``."""
+def counted(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST, keep: list[str] | None = None
+) -> DataFrame:
+    """``row`` (a struct of the columns ``keep``, all by default), ``size, source_size, target, copies``.
+
+    What is kept travels through the join with the plan; the text only if it is among it.
+    """
     plan, cuts = _plan(docs, weights, percent, most)
     plan = plan.select(
         F.col("source").alias("_p"), F.col("measure").alias("_m"), F.col("source_size").alias("_source_size"),
@@ -163,8 +168,8 @@ def _counted(docs: DataFrame, weights: tuple[int, ...], percent: int, most: int)
         cuts.select(F.col("source").alias("_c"), F.col("fine").alias("_cut"), F.col("place").alias("_place")),
         F.expr("_p <=> _c"), "left",
     )
-    own = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
-    rows = _ranked(_annotated(own).join(plan, F.expr("source <=> _p and _measure = _m")))
+    own = docs.select(F.struct(*(keep or docs.columns)).alias("row"), "doc_id", "text", "source")
+    rows = _ranked(_annotated(own).drop("text").join(plan, F.expr("source <=> _p and _measure = _m")))
     place = F.struct(
         F.col("_q"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("_size").alias("size")
     )
@@ -190,11 +195,11 @@ def with_copies(
         return name
 
     added = [F.col(c).alias(free(f"_{c}")) for c in ("size", "source_size", "target", "copies")]
-    return _counted(docs, weights, percent, most).select("row.*", *added)
+    return counted(docs, weights, percent, most).select("row.*", *added)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """The rows of the mix: every document as often as it is taken."""
-    rows = _counted(docs, weights, percent, most).filter("copies > 0")
+    rows = counted(docs, weights, percent, most).filter("copies > 0")
     turns = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return rows.select("row", turns.alias("turn")).select("row.*")
