@@ -138,10 +138,14 @@ def test_ordered_rounds(spark):
 
     score = lambda a, b: F.struct(edit_similarity(a("value"), b("value")).alias("s"))
     want = ordered_rounds(old, new, lambda o, n: similarity(o[3], n[3]))
-    for kept, aliases in ((10**9, False), (0, False), (10**9, True)):
+    old += [(2000, "s", "d", "yz"), (2002, "r", None, "x"), (2004, "q", "e", "x")]  # a small block, no block, none to meet
+    new += [(2001, "s", "d", "xyz"), (2003, "t", "d", "yz"), (2005, "r", None, "x")]
+    want += [(2000, 2003)]
+    # all blocks by rounds, all in tasks; large ones by rounds and small ones in tasks, rows of several names
+    for kept, aliases, together in ((0, False, 0), (10**9, False, None), (10**9, False, 110), (10**9, True, None)):
         got = rounds_of_ordered_best(
             spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), ["block"], ["value"],
-            score, None, aliases, stored_pairs=kept)
+            score, None, aliases, stored_pairs=kept, in_task=together)
         assert sorted(rows(got.select("old_fid", "new_fid"))) == sorted(want)
 
 
@@ -158,10 +162,11 @@ def test_ordered_ties_reached_later(spark):
     schema = "fid long, func string, block string, value string"
     score = lambda a, b: F.struct(edit_similarity(a("value"), b("value")).alias("s"))
     for old, new in tables:
-        got = rounds_of_ordered_best(
-            spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), ["block"], ["value"], score, None, False)
         want = ordered_rounds(old, new, lambda o, n: similarity(o[3], n[3]))
-        assert sorted(rows(got.select("old_fid", "new_fid"))) == sorted(want)
+        for together in (0, None):
+            got = rounds_of_ordered_best(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), ["block"], ["value"],
+                                         score, None, False, in_task=together)
+            assert sorted(rows(got.select("old_fid", "new_fid"))) == sorted(want)
 
 
 def random_texts(rng, count):

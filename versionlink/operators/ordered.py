@@ -3,12 +3,16 @@
 Rows with the same block and the same compared values form a *class*. Scores
 are computed once per pair of classes, not per pair of rows, so copies cost
 nothing; rows only meet their own class.
+
+Where a ``fid`` has one row, blocks do not touch each other. Blocks of up to ``IN_TASK`` row pairs
+then run all their rounds in one task, many blocks to a task; larger ones go by rounds of joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from versionlink.operators.assign import retire
@@ -18,6 +22,10 @@ from versionlink.session import empty_like, settle, union_all
 
 Field = Callable[[str], Column]
 
+# Row pairs of a block, and about as many of a task's blocks together.
+IN_TASK = 20_000
+_LINK = "old_fid long, old_func string, new_fid long, new_func string"
+
 
 def _classes(rows: DataFrame, block: list[str], compared: list[str], name: str) -> tuple[DataFrame, DataFrame]:
     """(classes, rows): the distinct compared values under a short id, and each row with its class."""
@@ -47,7 +55,7 @@ def rounds_of_ordered_best(old: DataFrame, new: DataFrame, block: list[str], com
                            score: Callable[[Field, Field], Column],
                            keep: Callable[[Field, Field], Column] | None = None,
                            aliases: bool = True, max_rounds: int | None = None,
-                           stored_pairs: int = 2_000_000_000) -> DataFrame:
+                           stored_pairs: int = 2_000_000_000, in_task: int | None = None) -> DataFrame:
     """Link ``fid``s one to one by the largest ``score`` inside ``block``.
 
     In each round a pair must be best for both fids; an old fid takes its first
@@ -62,10 +70,23 @@ def rounds_of_ordered_best(old: DataFrame, new: DataFrame, block: list[str], com
     A fid may have several rows (``aliases``). Class pairs are stored once when
     there are up to ``stored_pairs`` of them; beyond that they are formed again
     in each round from the classes still open, so nothing quadratic is kept.
+    ``in_task`` (default ``IN_TASK``) bounds the blocks that are linked in one task.
     """
-    pair_count = _pair_count(old, new, block)
+    most = IN_TASK if in_task is None else in_task
+    pair_count, small_count = _pair_count(old, new, block, most)
     if not pair_count:
         return _result(old)
+    if small_count and not aliases and max_rounds is None:
+        few = _blocks(old, new, block).where(F.col("__a") * F.col("__b") <= most).select(*block)
+        few = settle(few)
+        part = lambda rows, how: rows.join(few, block, how).select(*rows.columns)
+        won = _linked_in_tasks(part(old, "left_semi"), part(new, "left_semi"), block, compared, score, keep,
+                               1 + int(small_count) // max(1, most))
+        if small_count == pair_count:
+            return settle(won)
+        rest = rounds_of_ordered_best(part(old, "left_anti"), part(new, "left_anti"), block, compared, score, keep,
+                                      aliases, max_rounds, stored_pairs, 0)
+        return settle(won.unionByName(rest))
     old_classes, old_rows = _classes(old, block, compared, "old_class")
     new_classes, new_rows = _classes(new, block, compared, "new_class")
     old_rows, new_rows = settle(old_rows), settle(new_rows)
@@ -124,11 +145,76 @@ def _result(old: DataFrame) -> DataFrame:
     return empty_like(named)
 
 
-def _pair_count(old: DataFrame, new: DataFrame, block: list[str]) -> int:
-    """Upper bound of the class pairs, from the block sizes alone."""
+def _blocks(old: DataFrame, new: DataFrame, block: list[str]) -> DataFrame:
+    """The blocks of both sides with their rows on each."""
     sizes = lambda side, name: side.groupBy(*block).agg(F.count("*").cast("double").alias(name))
-    both = sizes(old, "__a").join(sizes(new, "__b"), block)
-    return both.agg(F.coalesce(F.sum(F.col("__a") * F.col("__b")), F.lit(0.0))).first()[0]
+    return sizes(old, "__a").join(sizes(new, "__b"), block)
+
+
+def _pair_count(old: DataFrame, new: DataFrame, block: list[str], most: int) -> tuple[float, float]:
+    """Upper bound of the class pairs, from the block sizes alone; of all blocks, and of those of up to ``most``."""
+    pairs = F.col("__a") * F.col("__b")
+    total = lambda which: F.coalesce(F.sum(F.when(which, pairs)), F.lit(0.0))
+    return tuple(_blocks(old, new, block).agg(total(F.lit(True)), total(pairs <= most)).first())
+
+
+def _linked_in_tasks(old: DataFrame, new: DataFrame, block: list[str], compared: list[str],
+                     score: Callable[[Field, Field], Column], keep, buckets: int) -> DataFrame:
+    """All rounds of small blocks: scores are made per pair of classes as ever, a bucket of blocks goes through its rounds in a task."""
+    old_classes, old_rows = _classes(old, block, compared, "old_class")
+    new_classes, new_rows = _classes(new, block, compared, "new_class")
+    pairs = class_pairs(old_classes, new_classes, block, compared, score, keep)
+    key = F.xxhash64(*block).alias("block")  # two blocks under one key do not disturb each other
+    of = lambda classes, name: classes.select(name, key)
+    none = F.lit(None)
+    parts = [pairs.join(of(old_classes, "old_class"), "old_class").select(
+        "block", F.lit(0).alias("kind"), F.col("old_class").alias("a"), F.col("new_class").alias("b"), "score", none.cast("string").alias("func"))]
+    for kind, (rows, classes, name) in enumerate(((old_rows, old_classes, "old_class"), (new_rows, new_classes, "new_class")), 1):
+        parts.append(rows.join(of(classes, name), name).select(
+            "block", F.lit(kind).alias("kind"), F.col("fid").cast("long").alias("a"), F.col(name).alias("b"),
+            none.cast(pairs.schema["score"].dataType).alias("score"), "func"))
+    table = union_all(parts).withColumn("bucket", F.pmod("block", F.lit(buckets)))
+    return table.groupBy("bucket").applyInArrow(_bucket_links, _LINK)
+
+
+def _bucket_links(table: pa.Table) -> pa.Table:
+    blocks: dict[int, tuple[dict, dict, dict]] = {}
+    names = ("block", "kind", "a", "b", "score", "func")
+    for block, kind, a, b, value, func in zip(*(table[c].to_pylist() for c in names)):
+        own = blocks.setdefault(block, ({}, {}, {}))
+        if kind == 0:  # nulls first, as Spark orders them
+            own[0][a, b] = tuple((v is not None, v) if v is not None else (False,) for v in value.values())
+        else:
+            own[kind].setdefault(b, []).append((func, a))
+    links = [link for own in blocks.values() for link in _block_links(*own)]
+    columns = list(zip(*links)) or [()] * 4
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["old_fid", "old_func", "new_fid", "new_func"])
+
+
+def _block_links(pairs: dict, old: dict, new: dict) -> Iterable[tuple]:
+    """The rounds of one block. ``pairs``: score by classes; ``old``, ``new``: (func, fid) of each class."""
+    for side in (old, new):
+        for rows in side.values():
+            rows.sort(reverse=True)  # the first row is the last of the list
+    while pairs:
+        best_old, best_new = {}, {}
+        for (a, b), value in pairs.items():
+            if a not in best_old or best_old[a] < value:
+                best_old[a] = value
+            if b not in best_new or best_new[b] < value:
+                best_new[b] = value
+        picks: dict = {}
+        for (a, b), value in pairs.items():
+            if value == best_old[a] and value == best_new[b]:
+                picks[a] = min(picks.get(a, (new[b][-1], b)), (new[b][-1], b))
+        takers: dict = {}
+        for a, (_, b) in picks.items():
+            takers[b] = min(takers.get(b, (old[a][-1], a)), (old[a][-1], a))
+        for b, (_, a) in takers.items():
+            (old_func, old_fid), (new_func, new_fid) = old[a].pop(), new[b].pop()
+            yield old_fid, old_func, new_fid, new_func
+        pairs = {(a, b): v for (a, b), v in pairs.items() if old[a] and new[b]}
 
 
 def _active(rows: DataFrame, pairs: DataFrame, name: str, aliases: bool) -> DataFrame:
