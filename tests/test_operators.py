@@ -10,7 +10,7 @@ from versionlink.operators.asof import asof_backward, asof_inside
 from versionlink.operators.assign import Tier, rounds_of_unique_best
 from versionlink.operators.closest import closest, similar_pairs
 from versionlink.operators.fill import unlinked_between
-from versionlink.operators.ordered import rounds_of_ordered_best
+from versionlink.operators.ordered import _block_links, rounds_of_ordered_best
 from versionlink.operators.pairing import block_join
 from versionlink.operators.ranges import contain_join
 from versionlink.operators.ranks import positions
@@ -169,6 +169,21 @@ def test_ordered_ties_reached_later(spark):
             assert sorted(rows(got.select("old_fid", "new_fid"))) == sorted(want)
 
 
+def test_rounds_of_one_block():
+    """The rounds that run in a task against the rule of one pair a round, with many ties and equal names."""
+    rng = random.Random(12)
+    for _ in range(300):
+        values = [f"v{k}" for k in range(rng.randint(1, 5))]
+        given = {(a, b): rng.randint(0, 3) for a in values for b in values}
+        side = lambda first: [(first + 2 * i, f"f{rng.randrange(8)}", "k", rng.choice(values)) for i in range(rng.randint(1, 12))]
+        old, new = side(0), side(1)
+        classes = lambda rows: {v: [(r[1], r[0]) for r in rows if r[3] == v] for v in {r[3] for r in rows}}
+        a, b = classes(old), classes(new)
+        pairs = {(x, y): (given[x, y],) for x in a for y in b}
+        want = ordered_rounds(old, new, lambda o, n: given[o[3], n[3]])
+        assert sorted((link[0], link[2]) for link in _block_links(pairs, a, b)) == sorted(want)
+
+
 def random_texts(rng, count):
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 30))) for _ in range(count)]
     return base + [t + rng.choice("abx") for t in base[: count // 2]] + [t[:3] + "z" + t[4:] for t in base[: count // 2]]
