@@ -52,8 +52,13 @@ def is_linkable(code: Column) -> Column:
     return ~code.rlike(SKIPPED_LINE)
 
 
+def plain_words(code: Column) -> Column:
+    """The words of a line with one space between them."""
+    return F.regexp_replace(F.trim(F.regexp_replace(code, r"\s+", " ")), r"\A\s+|\s+\z", "")
+
+
 def words(code: Column) -> Column:
-    return F.split(F.regexp_replace(F.trim(F.regexp_replace(code, r"\s+", " ")), r"\A\s+|\s+\z", ""), " ")
+    return F.split(plain_words(code), " ")
 
 
 def code_lines(text: Column) -> Column:

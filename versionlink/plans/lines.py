@@ -6,16 +6,17 @@ new_path, new_line``. Every step returns new links as a table of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from versionlink.functions.similarity import edge_distance, edit_similarity, word_share
-from versionlink.functions.text import without_line_comment, words
+from versionlink.functions.similarity import edge_distance, edit_similarity
+from versionlink.functions.text import plain_words, without_line_comment
 from versionlink.operators.assign import Tier, retire, rounds_of_unique_best, single_on_both
 from versionlink.operators.bounds import FIRST, LAST, mutual_inside, ranked_bounds, tight_bounds
 from versionlink.operators.closest import closest
 from versionlink.operators.components import connected
 from versionlink.operators.fill import unlinked_between
 from versionlink.operators.ranges import contain_join
+from versionlink.operators.shared_words import LINE_WEIGHT, word_weights
 from versionlink.plans.line_parts import PART_LINES, link_parts
 from versionlink.plans.paths import link_paths_by_content, link_paths_by_name
 from versionlink.session import compact, settle, union_all
@@ -156,32 +157,58 @@ def link_equal_repeated(old_src: DataFrame, new_src: DataFrame, src_map: DataFra
     return union_all(found) if found else won.select(*LINK)
 
 
-def word_pairs(old_src: DataFrame, new_src: DataFrame, src_map: DataFrame, top: int) -> DataFrame:
-    """Shared-word weight of unlinked lines that lie inside each other's interval."""
-    def tokens(src: DataFrame, s: str, o: str) -> DataFrame:
+def word_pairs(old_src: DataFrame, new_src: DataFrame, src_map: DataFrame, top: int, codes: bool = True) -> DataFrame:
+    """Shared-word weight of unlinked lines that lie inside each other's interval, with their ``codes`` on demand.
+
+    Lines meet by pairs of gaps, so words are counted inside a task and never shuffled on their own.
+    """
+    def gaps(src: DataFrame, s: str, o: str) -> DataFrame:
         lines = _uncommented(tight_bounds(src, s, o, src_map, top))
-        word = lines.select("*", F.posexplode(words(F.col("code"))).alias("at", "word"))
-        # k-th occurrence of the word in its line
-        word = word.withColumn("k", F.row_number().over(_in_line(s)))
-        return word.drop("at").withColumnRenamed("code", f"{s}_code")
-
-    pairs = _inside_join(tokens(old_src, "old", "new"), tokens(new_src, "new", "old"), ["word", "k"], top)
-    return mutual_inside(pairs).groupBy(*LINK, "old_code", "new_code").agg(
-        F.round(F.sum(word_share("word", "old_code", "new_code")), 10).alias("len")
-    )
+        # rows that repeat a line count their words together
+        return settle(lines.groupBy(*gap_of(s), f"{s}_line").agg(F.sort_array(F.collect_list("code")).alias("codes")))
+
+    old, new = gaps(old_src, "old", "new"), gaps(new_src, "new", "old")
+    both = gap_pairs(old, new, top)
+
+    def lines(side: DataFrame, s: str) -> DataFrame:
+        size = F.aggregate("codes", F.lit(LINE_WEIGHT), lambda n, code: n + F.length(code))
+        return side.join(both, gap_of(s)).select(
+            *both.columns, F.col(f"{s}_line").alias("line"), "codes", F.transform("codes", plain_words).alias("words"), size.cast("bigint").alias("__weight"))
+
+    return word_weights(lines(old, "old"), lines(new, "new"), both.columns, codes).withColumn("len", F.round("len", 10))
+
 
+def gap_of(s: str) -> list[str]:
+    """Columns that name the gap of a side's line: all lines between the same two links share one."""
+    o = "new" if s == "old" else "old"
+    return ["old_path", "new_path", f"{o}_line_prev", f"{o}_line_next"]
 
-def _in_line(s: str):
-    return Window.partitionBy(f"{s}_path", f"{s}_line", "word").orderBy("at")
+
+def gap_pairs(old: DataFrame, new: DataFrame, top: int) -> DataFrame:
+    """Pairs of gaps whose lines lie inside each other's interval."""
+    # no link lies inside a gap, so one line tells whether the whole gap is inside an interval
+    spot = lambda side, s: side.groupBy(*gap_of(s)).agg(F.min(f"{s}_line").alias(f"{s}_line"))
+    return settle(
+        mutual_inside(_inside_join(spot(old, "old"), spot(new, "new"), [], top))
+        .select(*dict.fromkeys([*gap_of("old"), *gap_of("new")]))
+    )
 
 
 def link_by_words(old_src: DataFrame, new_src: DataFrame, src_map: DataFrame, top: int,
                   max_rounds: int | None = None) -> DataFrame:
     """Rounds of unique mutual best word weight, then of (weight, similarity)."""
-    pairs = settle(word_pairs(old_src, new_src, src_map, top))
+    pairs = settle(word_pairs(old_src, new_src, src_map, top, codes=False))
     first = rounds_of_unique_best(pairs, OLD, NEW, [Tier("len")], max_rounds).select(*LINK)
     first = settle(first)
-    rest = retire(pairs, first, OLD, NEW).withColumn("similarity", edit_similarity("old_code", "new_code"))
+    rest = retire(pairs, first, OLD, NEW)
+
+    def codes(src: DataFrame, s: str) -> DataFrame:
+        lines = _uncommented(src).withColumnsRenamed({"path": f"{s}_path", "line": f"{s}_line"})
+        return lines.groupBy(f"{s}_path", f"{s}_line").agg(F.sort_array(F.collect_set("code")).alias(f"{s}_codes"))
+
+    code = lambda s: F.get(f"{s}_codes", F.col(f"{s}_at").cast("int"))
+    rest = rest.join(codes(old_src, "old"), OLD).join(codes(new_src, "new"), NEW).select(
+        *LINK, "len", edit_similarity(code("old"), code("new")).alias("similarity"))
     second = rounds_of_unique_best(rest, OLD, NEW, [Tier("len"), Tier("similarity")], max_rounds)
     return first.unionByName(second.select(*LINK))
 
@@ -201,14 +228,8 @@ def link_fuzzy(old_src: DataFrame, new_src: DataFrame, old_lines: DataFrame, new
         return settle(lines.withColumnRenamed("code", f"{s}_code"))
 
     old, new = gaps(old_src, old_lines, "old", "new"), gaps(new_src, new_lines, "new", "old")
-    old_gap = ["old_path", "new_path", "new_line_prev", "new_line_next"]
-    new_gap = ["old_path", "new_path", "old_line_prev", "old_line_next"]
-    # no link lies inside a gap, so one line tells whether the whole gap is inside an interval
-    spot = lambda side, gap, s: side.groupBy(*gap).agg(F.min(f"{s}_line").alias(f"{s}_line"))
-    both = settle(
-        mutual_inside(_inside_join(spot(old, old_gap, "old"), spot(new, new_gap, "new"), [], top))
-        .select(*dict.fromkeys([*old_gap, *new_gap]))
-    )
+    old_gap, new_gap = gap_of("old"), gap_of("new")
+    both = gap_pairs(old, new, top)
     block = both.columns
     codes = closest(
         old.select(*old_gap, "old_code").distinct().join(both, old_gap),
