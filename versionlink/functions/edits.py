@@ -26,6 +26,23 @@ def _places(text: str) -> dict[str, int]:
     return {c: int(backwards.translate(zeros | {ord(c): "1"}), 2) for c in letters}
 
 
+# Letters that a piece of a text needs to be searched for on its own.
+PIECE = 3
+
+
+def _surely_apart(a: str, b: str, most: int) -> bool:
+    """True if more than ``most`` of ``2 * most + 1`` pieces of ``a`` are missing near their places in ``b``: each takes an edit."""
+    pieces = 2 * most + 1
+    missing, end = 0, 0
+    for k in range(1, pieces + 1):
+        start, end = end, k * len(a) // pieces
+        if b.find(a[start:end], max(0, start - most), end + most) < 0:
+            missing += 1
+            if missing > most:
+                return True
+    return False
+
+
 def edit_distance(a: str, b: str, most: int | None = None) -> int | None:
     """Insertions, deletions and replacements between two texts; None when surely more than ``most``."""
     if a == b:
@@ -39,7 +56,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int | None:
         a, b = b, a
     if not b:
         return len(a)
-    if most is not None and len(a) - len(b) > most:
+    if most is not None and (len(a) - len(b) > most or (2 * most + 1) * PIECE <= len(a) and _surely_apart(a, b, most)):
         return None
     places, mask, top = _places(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
     # bits of the column's steps: one more, one less

@@ -24,7 +24,10 @@ from versionlink.operators.pairing import block_join, weighed_tiles
 from versionlink.session import settle, union_all
 
 GRAM = 2
-SMALL_BLOCK = 10_000
+# Row pairs, and cells of edit distances, of a block that one task searches for all similar pairs (bounds spare most cells); letters that one such task holds.
+SMALL_BLOCK = 1 << 22
+SMALL_CELLS = 1 << 35
+TASK_LETTERS = 1 << 25
 # Cells of edit distances that one tile holds.
 TILE_CELLS = 1 << 32
 LETTERS = 32
@@ -262,41 +265,161 @@ def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], l: str, r
                   at_least: float, small_block: int = SMALL_BLOCK) -> DataFrame:
     """Every value pair of a block with edit similarity of ``at_least`` or more.
 
+    Blocks of up to ``small_block`` row pairs that fit one task are searched there whole; in larger
+    ones pairs are met by an equi-join on rare grams.
+    """
+    _gram_bound(at_least)
+    whole, large, tasks = _split_blocks(left, right, block, l, r, small_block)
+
+    def found(old: dict[str, list[int]], new: dict[str, list[int]]) -> list[tuple[int, int, float]]:
+        return [(old[a][0], new[b][0], s) for a, b, s in _near_in_block(old, new, at_least)]
+
+    near = _near_in_tasks(*whole, block, l, r, [], [], tasks, found)
+    return near if large is None else near.unionByName(_similar_by_grams(*large, block, l, r, at_least))
+
+
+def similar_rows(left: DataFrame, right: DataFrame, block: list[str], l: str, r: str, keep_l: list[str], keep_r: list[str],
+                 at_least: float, small_block: int = SMALL_BLOCK) -> DataFrame:
+    """Row pairs of a block with edit similarity of ``at_least`` or more that is the best there for either text.
+
+    Returns ``block``, ``keep_l``, ``keep_r`` and ``similarity``: texts are moved once, to the task that compares them.
+    """
+    _gram_bound(at_least)
+    whole, large, tasks = _split_blocks(left, right, block, l, r, small_block)
+
+    def found(old: dict[str, list[int]], new: dict[str, list[int]]) -> list[tuple[int, int, float]]:
+        near = _near_in_block(old, new, at_least, best_only=True)
+        return [(i, j, s) for a, b, s in near for i in old[a] for j in new[b]]
+
+    near = _near_in_tasks(*whole, block, l, r, keep_l, keep_r, tasks, found)
+    if large is None:
+        return near
+    codes = _similar_by_grams(*large, block, l, r, at_least)
+    best = lambda c, out: codes.groupBy(*block, c).agg(F.max("similarity").alias(out))
+    codes = settle(codes.join(best(l, "__l"), [*block, l]).join(best(r, "__r"), [*block, r])
+                   .where("similarity = __l or similarity = __r").drop("__l", "__r"))
+    return near.unionByName(codes.join(large[0], [*block, l]).join(large[1], [*block, r]).select(*near.columns))
+
+
+def _gram_bound(at_least: float) -> None:
+    if at_least < 0.8:
+        raise ValueError("the gram filter is exact from 0.8 on")
+
+
+def _split_blocks(left: DataFrame, right: DataFrame, block: list[str], l: str, r: str, small_block: int):
+    """Both sides' rows of blocks that one task searches, those of larger blocks (None without one), and a number of tasks."""
+    left, right = left.where(F.col(l).isNotNull()), right.where(F.col(r).isNotNull())
+    size = lambda side, c, name: side.groupBy(*block).agg(F.count("*").cast("double").alias(name), F.sum(F.length(c) + 1).cast("double").alias(f"{name}_weight"))
+    work = F.col("__a_weight") * F.col("__b_weight")
+    # a block of one side has no pair, but its texts must not fill a task
+    large = F.coalesce((F.col("__a") * F.col("__b") > small_block) | (work > SMALL_CELLS), F.coalesce("__a_weight", "__b_weight") > ONE_SIDED)
+    met = settle(size(left, l, "__a").join(size(right, r, "__b"), block, "full").select(
+        *block, large.alias("__large"), F.coalesce(work, F.lit(0.0)).alias("__work"),
+        (F.coalesce("__a_weight", F.lit(0.0)) + F.coalesce("__b_weight", F.lit(0.0))).alias("__letters")))
+    some, work, letters = met.agg(F.max("__large"), F.sum(F.when(~F.col("__large"), F.col("__work"))),
+                                  F.sum(F.when(~F.col("__large"), F.col("__letters")))).first()
+    tasks = math.ceil(max((work or 0.0) / SMALL_CELLS, (letters or 0.0) / TASK_LETTERS))
+    if not some:
+        return (left, right), None, tasks
+    large = met.where("__large").select(*block)
+    kind = lambda how: tuple(side.join(large, block, how) for side in (left, right))
+    return kind("left_anti"), kind("left_semi"), tasks
+
+
+def _near_in_block(left: dict[str, list[int]], right: dict[str, list[int]], at_least: float,
+                   best_only: bool = False) -> list[tuple[str, str, float]]:
+    """Text pairs with a similarity of ``at_least``; with ``best_only``, those best for either text."""
+    found = [(text, text, 1.0) for text in left if text in right]
+    others = sorted(right, key=len)
+    if best_only:
+        # a text with an equal partner has its best; two such texts need no distance
+        asking = [t for t in others if t not in left]
+    size = lambda texts: np.array([len(t) for t in texts], np.int64)
+    sides: dict[int, tuple[list, np.ndarray, list]] = {0: (others, size(others), [])}
+    if best_only:
+        sides[1] = (asking, size(asking), [])
+    for text in left:
+        texts, sizes, counts = sides[1 if best_only and text in right else 0]
+        low = int(np.searchsorted(sizes, at_least * len(text) - 1e-6))
+        high = int(np.searchsorted(sizes, len(text) / at_least + 1e-6, "right"))
+        if low == high or (high - low == 1 and texts[low] == text):
+            continue
+        if not counts:
+            counts.append(np.array([_letters(t) for t in texts], np.int32))
+        longest = np.maximum(sizes[low:high], len(text))
+        surplus = np.maximum(_letters(text) - counts[0][low:high], 0).sum(axis=1)
+        most = ((1.0 - at_least) * longest + 1e-6).astype(np.int64)
+        # every surplus letter of either side takes an edit
+        for k in np.flatnonzero(np.maximum(surplus, surplus - (len(text) - sizes[low:high])) <= most).tolist():
+            other = texts[low + k]
+            if other != text:
+                edits = edit_distance(text, other, int(most[k]))
+                if edits is not None and (similarity := 1.0 - edits / int(longest[k])) >= at_least:
+                    found.append((text, other, similarity))
+    if not best_only:
+        return found
+    best: tuple[dict, dict] = {}, {}
+    for a, b, s in found:
+        best[0][a], best[1][b] = max(s, best[0].get(a, s)), max(s, best[1].get(b, s))
+    return [(a, b, s) for a, b, s in found if s in (best[0][a], best[1][b])]
+
+
+def _near_in_tasks(left: DataFrame, right: DataFrame, block: list[str], l: str, r: str, keep_l: list[str], keep_r: list[str],
+                   tasks: int, found) -> DataFrame:
+    """Row pairs that ``found`` gives for each block, as ``block``, the kept columns (without any: the texts) and ``similarity``."""
+    texts = not keep_l and not keep_r
+
+    def search(table: pa.Table) -> pa.Table:
+        sides: dict[tuple, tuple[dict, dict]] = {}
+        keys = zip(*[table.column(c).to_pylist() for c in block])
+        for at, (key, old, text) in enumerate(zip(keys, table.column("__old").to_pylist(), table.column("__text").to_pylist())):
+            if None not in key:
+                sides.setdefault(key, ({}, {}))[0 if old else 1].setdefault(text, []).append(at)
+        pairs = [pair for old, new in sides.values() if old and new for pair in found(old, new)]
+        a, b, similarity = [list(c) for c in zip(*pairs)] if pairs else [[]] * 3
+        a, b = pa.array(a, pa.int64()), pa.array(b, pa.int64())
+        columns = [(c, table.column(c).take(a)) for c in block]
+        if texts:
+            columns += [(l, table.column("__text").take(a)), (r, table.column("__text").take(b))]
+        columns += [(c, table.column(c).take(a)) for c in keep_l] + [(c, table.column(c).take(b)) for c in keep_r]
+        columns.append(("similarity", pa.array(similarity, pa.float64())))
+        return pa.table([c for _, c in columns], names=[name for name, _ in columns])
+
+    side = lambda own, c, old, keep: own.select(*block, F.lit(old).alias("__old"), F.col(c).alias("__text"), *keep)
+    both = side(left, l, True, keep_l).unionByName(side(right, r, False, keep_r), allowMissingColumns=True)
+    buckets = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
+    out = [F.col("__text").alias(l), F.col("__text").alias(r)] if texts else [*keep_l, *keep_r]
+    schema = both.select(*block, *out, F.lit(0.0).alias("similarity")).schema
+    bucket = F.pmod(F.xxhash64(*block), F.lit(buckets)).alias("__bucket")
+    return both.select(bucket, "*").groupBy("__bucket").applyInArrow(search, schema)
+
+
+def _similar_by_grams(left: DataFrame, right: DataFrame, block: list[str], l: str, r: str, at_least: float) -> DataFrame:
+    """:func:`similar_pairs` for blocks of any size.
+
     Equal values are met by an equi-join, also those too short to have a gram; a
-    text of one letter has no other partner from 0.8 on. Blocks of up to ``small_block`` value pairs are compared directly. In larger
-    ones pairs are met by an equi-join on rare grams: texts within d edits share
+    text of one letter has no other partner from 0.8 on. Other
+    pairs are met by an equi-join on rare grams: texts within d edits share
     a two-letter gram among the 2d+1 rarest of each (d is the most edits the
     bound allows for a text's length). From 0.8 on every text has that many
     grams, and the filter loses nothing.
     """
-    if at_least < 0.8:
-        raise ValueError("the gram filter is exact from 0.8 on")
     # the hash only names a text in the gram join; texts that share one are all compared
     own_l = settle(left.select(*block, l, F.xxhash64(l).alias("__l"), F.length(l).alias("__ll")).distinct())
     own_r = settle(right.select(*block, r, F.xxhash64(r).alias("__r"), F.length(r).alias("__rl")).distinct())
-    size = lambda side, out: side.groupBy(*block).agg(F.count("*").cast("double").alias(out))
-    large = settle(
-        size(own_l, "__a").join(size(own_r, "__b"), block).where(F.col("__a") * F.col("__b") > small_block).select(*block)
-    )
     shorter, longer = F.least("__ll", "__rl"), F.greatest("__ll", "__rl")
     fits = shorter >= longer * at_least
-    small = lambda side: side.join(large, block, "left_anti")
-    near = block_join(small(own_l), small(own_r), block).where(fits & (F.col(l) != F.col(r)))
-    if not large.isEmpty():
-        big_l, big_r = own_l.join(large, block, "left_semi"), own_r.join(large, block, "left_semi")
-        texts = big_l.select(F.col(l).alias("__text")).unionByName(big_r.select(F.col(r).alias("__text"))).distinct()
-        rare = settle(_rare_grams(texts, at_least))
-        tagged = lambda side, text, *c: side.join(rare.withColumnRenamed("__text", text), text).select(
-            *block, *c, "__gram", "__k")
-        met = block_join(tagged(big_l, l, "__l", "__ll"), tagged(big_r, r, "__r", "__rl"), [*block, "__gram", "__k"])
-        met = met.where(fits).select(*block, "__l", "__r").distinct()
-        met = met.join(big_l, [*block, "__l"]).join(big_r, [*block, "__r"]).where(F.col(l) != F.col(r))
-        near = near.select(*block, l, r).unionByName(met.select(*block, l, r))
-    least = F.lit(at_least)
+    texts = own_l.select(F.col(l).alias("__text")).unionByName(own_r.select(F.col(r).alias("__text"))).distinct()
+    rare = settle(_rare_grams(texts, at_least))
+    tagged = lambda side, text, *c: side.join(rare.withColumnRenamed("__text", text), text).select(
+        *block, *c, "__gram", "__k")
+    met = block_join(tagged(own_l, l, "__l", "__ll"), tagged(own_r, r, "__r", "__rl"), [*block, "__gram", "__k"])
+    met = met.where(fits).select(*block, "__l", "__r").distinct()
+    near = met.join(own_l, [*block, "__l"]).join(own_r, [*block, "__r"]).where(F.col(l) != F.col(r)).select(*block, l, r)
     same = own_l.select(*block, l).join(own_r.select(*block, F.col(r).alias(l)), [*block, l]).select(
         *block, l, F.col(l).alias(r), F.lit(1.0).alias("similarity")
     )
-    similar = near.select(*block, l, r, _similarity(F.col(l), F.col(r), least).alias("similarity"))
+    similar = near.select(*block, l, r, _similarity(F.col(l), F.col(r), F.lit(at_least)).alias("similarity"))
     return similar.where(F.col("similarity") >= at_least).unionByName(same)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from versionlink.operators.assign import single_on_both
 from versionlink.operators.bounds import loose_bounds, mutual_inside, tight_bounds
-from versionlink.operators.closest import closest, similar_pairs
+from versionlink.operators.closest import closest, similar_rows
 from versionlink.operators.pairing import block_join
 from versionlink.plans.lines import LINK, NEW, OLD, _inside_join, largest_line
 from versionlink.session import compact, settle, union_all
@@ -139,8 +139,7 @@ def near_lines_between(old_fb: DataFrame, new_fb: DataFrame, func_map: DataFrame
     pairs = func_map.select("old_fid", "new_fid").distinct()
     old = old_fb.select("old_fid", *OLD, "new_path", F.col("code").alias("old_code")).distinct().join(pairs, "old_fid")
     new = new_fb.select("new_fid", *NEW, "old_path", F.col("code").alias("new_code")).distinct().join(pairs, "new_fid")
-    near = similar_pairs(old, new, block, "old_code", "new_code", at_least)
-    found = settle(near.join(old, [*block, "old_code"]).join(new, [*block, "new_code"]))
+    found = settle(similar_rows(old, new, block, "old_code", "new_code", ["old_line"], ["new_line"], at_least))
     return _best_for_either(found, OLD, NEW).select(*FLINK)
 
 
