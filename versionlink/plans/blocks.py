@@ -39,6 +39,17 @@ def link_blocks_by_hash(func_map: DataFrame, old_node: DataFrame, new_node: Data
     )
 
 
+def _edges(edge: DataFrame, s: str, via: str, to: str) -> DataFrame:
+    """Edges of a side with the number of parallel ones."""
+    ends = [F.col(f"{to}_fid").alias(f"{s}_fid"), F.col(f"{to}_bid").alias(f"{s}_bid"),
+            F.col(f"{via}_fid").alias(f"{s}_via_fid"), F.col(f"{via}_bid").alias(f"{s}_via_bid")]
+    return edge.groupBy(*ends).agg(F.count("*").alias(f"{s}_n"))
+
+
+def _via(bb_map: DataFrame) -> DataFrame:
+    return bb_map.select(*[F.col(f"{s}_{c}").alias(f"{s}_via_{c}") for s in ("old", "new") for c in ("fid", "bid")])
+
+
 def neighbour_votes(pairs: DataFrame, bb_map: DataFrame, old_edge: DataFrame, new_edge: DataFrame,
                     via: str, to: str) -> DataFrame:
     """Votes for candidate pairs: linked blocks with an edge from ``via`` to ``to`` on both sides.
@@ -46,20 +57,30 @@ def neighbour_votes(pairs: DataFrame, bb_map: DataFrame, old_edge: DataFrame, ne
     Parallel edges count each; they are counted before the joins. Starting from
     the candidates, every join has both ends of an edge or a one-to-one link.
     """
-    def edges(edge: DataFrame, s: str) -> DataFrame:
-        ends = [F.col(f"{to}_fid").alias(f"{s}_fid"), F.col(f"{to}_bid").alias(f"{s}_bid"),
-                F.col(f"{via}_fid").alias(f"{s}_via_fid"), F.col(f"{via}_bid").alias(f"{s}_via_bid")]
-        return edge.groupBy(*ends).agg(F.count("*").alias(f"{s}_n"))
-
-    linked = bb_map.select(*[F.col(f"{s}_{c}").alias(f"{s}_via_{c}") for s in ("old", "new") for c in ("fid", "bid")])
     votes = (
-        pairs.select(*BLOCKS).join(edges(old_edge, "old"), OLD)
-        .join(linked, ["old_via_fid", "old_via_bid"])
-        .join(edges(new_edge, "new"), [*NEW, "new_via_fid", "new_via_bid"])
+        pairs.select(*BLOCKS).join(_edges(old_edge, "old", via, to), OLD)
+        .join(_via(bb_map), ["old_via_fid", "old_via_bid"])
+        .join(_edges(new_edge, "new", via, to), [*NEW, "new_via_fid", "new_via_bid"])
     )
     return votes.groupBy(*BLOCKS).agg(F.sum(F.col("old_n") * F.col("new_n")).alias("votes"))
 
 
+def votes_beside_links(func_map: DataFrame, bb_map: DataFrame, old_edge: DataFrame, new_edge: DataFrame,
+                       via: str, to: str) -> DataFrame:
+    """:func:`neighbour_votes` for all open pairs of blocks of linked functions.
+
+    Only neighbours of links have votes, so the pairs come from the links and their edges;
+    the candidates are never formed.
+    """
+    pairs = (
+        _via(bb_map).join(_edges(old_edge, "old", via, to), ["old_via_fid", "old_via_bid"])
+        .join(_edges(new_edge, "new", via, to), ["new_via_fid", "new_via_bid"])
+    )
+    votes = pairs.groupBy(*BLOCKS).agg(F.sum(F.col("old_n") * F.col("new_n")).alias("votes"))
+    votes = votes.join(func_map.select("old_fid", "new_fid").distinct(), ["old_fid", "new_fid"], "left_semi")
+    return retire(votes, bb_map, OLD, NEW).select(*BLOCKS, "votes")
+
+
 def link_blocks(old_node: DataFrame, new_node: DataFrame, old_edge: DataFrame, new_edge: DataFrame,
                 ins_map: DataFrame, func_map: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """All block links.

@@ -51,13 +51,6 @@ CANDIDATES = """
            where (old_fid,o.bid) not in (select (old_fid,old_bid) from seed) and (new_fid,n.bid) not in (select (new_fid,new_bid) from seed))"""
 
 
-def _candidates(old: DataFrame, new: DataFrame, func_map: DataFrame, seed: DataFrame) -> DataFrame:
-    side = lambda f, s: f.select(F.col("fid").alias(f"{s}_fid"), F.col("bid").alias(f"{s}_bid"))
-    pairs = func_map.join(side(old, "old"), "old_fid").join(side(new, "new"), "new_fid")
-    pairs = pairs.join(seed.select(*blocks.OLD), blocks.OLD, "left_anti").join(seed.select(*blocks.NEW), blocks.NEW, "left_anti")
-    return pairs.select(*blocks.BLOCKS)
-
-
 def votes_sql(via: str, to: str) -> str:
     own = {"src": "bid", "dst": "next_bid"}
     return f"""
@@ -71,7 +64,7 @@ def votes_sql(via: str, to: str) -> str:
 def _votes(spark: SparkSession, folder: str, via: str, to: str) -> DataFrame:
     old, new, old_edge, new_edge, func_map = _sides(spark, folder)
     seed = settle(blocks.link_blocks_by_hash(func_map, old, new))
-    return blocks.neighbour_votes(_candidates(old, new, func_map, seed), seed, old_edge, new_edge, via, to)
+    return blocks.votes_beside_links(func_map, seed, old_edge, new_edge, via, to)
 
 
 @query("block_successor_votes", f"with {HASHED}, {CANDIDATES}, {votes_sql('src', 'dst')} select * from v_dst")
