@@ -2,37 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
-from versionlink.operators.fill import fill_anchors
 from versionlink.session import settle
 
 # Rows of one range part, which a single task sorts.
 PART_ROWS = 2_000_000
 
 
+def _fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last mark at or before each row of a sorted partition."""
+    carried = None
+    for batch in batches:
+        marks = batch.column("__mark")
+        if not len(marks):
+            continue
+        known = pa.concat_arrays([pa.nulls(1, marks.type) if carried is None else carried, marks])
+        at = np.arange(1, len(marks) + 1)
+        at[~marks.is_valid().to_numpy(zero_copy_only=False)] = 0
+        seen = known.take(pa.array(np.maximum.accumulate(at)))
+        carried = seen.slice(len(marks) - 1)
+        yield pa.RecordBatch.from_arrays([batch.column("__part"), batch.column("__row"), seen], names=["__part", "__row", "__seen"])
+
+
 def asof_backward(rows: DataFrame, marks: DataFrame, order: list[str], value: list[str]) -> DataFrame:
     """Attach to each row the ``value`` columns of the nearest mark at or before it.
 
     ``order`` columns are in both tables; rows before the first mark get nulls.
     Rows and marks are range partitioned together by the order, filled inside
-    each partition, and the last mark of each partition is carried on, so no
+    each partition without another shuffle, and the last mark of each partition is carried on, so no
     task sees the whole order.
     """
-    at = F.struct(*[F.col(c).alias(c) for c in order])
-    left = rows.select(F.struct(*rows.columns).alias("__row"), at.alias("__order"))
-    right = marks.select(F.struct(*value).alias("__mark"), at.alias("__order"))
+    at = [F.col(c).alias(f"__at{k}") for k, c in enumerate(order)]
+    left = rows.select(F.struct(*rows.columns).alias("__row"), *at)
+    right = marks.select(F.struct(*value).alias("__mark"), *at)
     both = left.unionByName(right, allowMissingColumns=True)
-    # A mark at the place of a row counts for the row; of several marks at one place the largest counts.
-    both = both.withColumn("__at", F.struct("__order", F.col("__row").isNotNull().alias("r"), "__mark"))
+    places = [f"__at{k}" for k in range(len(order))]
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(least, -(-both.count() // PART_ROWS))
-    parts = both.repartitionByRange(wanted, *[F.col(f"__order.{c}") for c in order])
+    # A mark at the place of a row counts for the row; of several marks at one place the largest counts.
+    parts = both.repartitionByRange(wanted, *places).sortWithinPartitions(*places, F.col("__row").isNotNull(), "__mark")
     # The sampled ranges are fixed here: both steps of the fill must see the same parts.
-    parts = settle(parts.withColumn("__part", F.spark_partition_id()))
-    whole = parts.withColumn("__all", F.lit(0))
-    filled = fill_anchors(whole, ["__all"], "__at", "__mark", F.col("__part"), before="__seen")
-    return filled.where(F.col("__row").isNotNull()).select("__row.*", "__seen.*")
+    parts = settle(parts.select("__row", "__mark")).withColumn("__part", F.spark_partition_id())
+    schema = parts.select("__part", "__row", F.col("__mark").alias("__seen")).schema
+    filled = parts.select("__part", "__row", "__mark").mapInArrow(_fill, schema).where(F.col("__row").isNotNull())
+    last = parts.select("__part", "__mark", F.monotonically_increasing_id().alias("__n")).groupBy("__part").agg(
+        F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.col("__n"))).alias("__last"))
+    # one row a part
+    across = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = last.select("__part", F.last("__last", ignorenulls=True).over(across).alias("__earlier"))
+    filled = filled.join(F.broadcast(earlier), "__part").withColumn("__seen", F.coalesce("__seen", "__earlier"))
+    return filled.select("__row.*", "__seen.*")
 
 
 def asof_inside(rows: DataFrame, spans: DataFrame, point: str, lo: str, hi: str, value: list[str]) -> DataFrame:
