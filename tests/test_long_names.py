@@ -5,6 +5,7 @@ import random
 from versionlink.functions.similarity import edit_similarity, edit_similarity_of_long
 from versionlink.operators import ordered
 from versionlink.plans import functions as plan
+from versionlink.plans.overlap import overlap_scores
 
 COLUMNS = "fid long, func string, namespace string, basename string, parameters string, extension string, chunk string, path string, line long"
 
@@ -45,3 +46,13 @@ def test_blocks_beyond_a_task_are_cut_by_letters(spark, monkeypatch):
     monkeypatch.setattr(ordered, "IN_TASK", 10)
     assert {tuple(r) for r in plan.link_leftovers(old, new).collect()} == want and len(want) == 12
     assert asked and all(tasks > 10 and tile < 12 for tile, tasks in asked)
+
+
+def test_overlap_counts_long_lines_outside_spark(spark):
+    lines = spark.createDataFrame([("p", 1, "x" * 100), ("p", 2, "short"), ("p", 3, None)], "path string, line long, code string")
+    other = spark.createDataFrame([("q", 1, "x" * 50 + "y" + "x" * 50), ("q", 2, "sport"), ("q", 3, "z")], "path string, line long, code string")
+    links = spark.createDataFrame([("p", k, "q", k) for k in (1, 2, 3)], "old_path string, old_line long, new_path string, new_line long")
+    owners = lambda df: df.select((df.line * 10).alias("fid"), "path", "line")
+    scores = overlap_scores(links, owners(lines), owners(other), lines, other)
+    assert {r.old_fid: r.score for r in scores.collect()} == {10: 100, 20: 4, 30: None}
+    assert "ArrowEvalPython" in scores._jdf.queryExecution().toString()
