@@ -6,12 +6,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from versionlink.functions.text import file_name, is_linkable
+from versionlink.functions.text import digest, file_name, is_linkable
 from versionlink.operators.assign import single_on_both
 from versionlink.operators.closest import closest
 from versionlink.operators.pairing import block_join
-from versionlink.operators.ranks import positions
-from versionlink.session import settle
+from versionlink.operators.ranks import TASK_ROWS, positions
+from versionlink.session import keep, settle
 
 # A (code, occurrence) that forms more path pairs than this is handled by groups of paths.
 COMMON_PAIRS = 1_000_000
@@ -47,6 +47,17 @@ def occurrences(src: DataFrame, largest: int | None = None) -> DataFrame:
     return positions(lines, ["path", "code"], ["line"], "k", largest).select("path", "code", "k")
 
 
+def digested_occurrences(src: DataFrame, largest: int | None = None) -> DataFrame:
+    """:func:`occurrences` with the digest of each code in its place, and its length as ``len``."""
+    lines = src.where(is_linkable(F.col("code"))).select(
+        "path", "line", digest(F.col("code")).alias("code"), F.length("code").alias("len"))
+    if largest is None:
+        # no group has more lines than its path
+        largest = lines.groupBy("path").count().agg(F.max("count")).first()[0] or 0
+        largest = largest if largest <= TASK_ROWS else None
+    return positions(lines, ["path", "code"], ["line"], "k", largest).select("path", "code", "k", "len")
+
+
 def shared_line_weight(old_src: DataFrame, new_src: DataFrame) -> DataFrame:
     """Total length of the lines each pair of paths shares, occurrence by occurrence.
 
@@ -86,20 +97,36 @@ def shared_weight_of_two(old_src: DataFrame, new_src: DataFrame) -> DataFrame:
     two = F.array_distinct(F.array(F.min("path"), F.when(whole, F.max("path"))))
     kept = lambda classes, s: classes.groupBy(F.col("class").alias(f"{s}_class")).agg(two.alias("two")).select(
         f"{s}_class", F.explode("two").alias(f"{s}_path"))
-    return _class_weights(old, new).join(kept(old_classes, "old"), "old_class").join(kept(new_classes, "new"), "new_class").select(
+    weights = _that_may_be_best(keep(_class_weights(old, new)), old_classes, new_classes)
+    return weights.join(kept(old_classes, "old"), "old_class").join(kept(new_classes, "new"), "new_class").select(
         "old_path", "new_path", "len")
 
 
+def _that_may_be_best(weights: DataFrame, old_classes: DataFrame, new_classes: DataFrame) -> DataFrame:
+    """Class pairs without those that are never best for either side, in whatever round.
+
+    Of a class with two paths none is ever won, so what it shares with a class of the other side
+    stays open to the end, and nothing less is that class's best.
+    """
+    def reach(s: str, o: str, classes: DataFrame) -> DataFrame:
+        stay = classes.groupBy(F.col("class").alias(f"{o}_class")).agg(F.count("path").alias("n")).where("n > 1").select(f"{o}_class")
+        return weights.join(stay, f"{o}_class").groupBy(f"{s}_class").agg(F.max("len").alias(f"{s}_reach"))
+
+    both = weights.join(reach("old", "new", new_classes), "old_class", "left").join(reach("new", "old", old_classes), "new_class", "left")
+    least = lambda s: F.col("len") >= F.coalesce(f"{s}_reach", F.col("len"))
+    return both.where(least("old") | least("new")).select("old_class", "new_class", "len")
+
+
 def _line_classes(old_src: DataFrame, new_src: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """Per version the lines of each class as ``class, key, len``, and its paths as ``class, path, n``."""
-    old, new = settle(occurrences(old_src)), settle(occurrences(new_src))
+    old, new = keep(digested_occurrences(old_src)), keep(digested_occurrences(new_src))
     key = ["code", "k"]
-    keys = old.select(*key).distinct().join(new.select(*key).distinct(), key)
+    keys = old.groupBy(*key).agg(F.first("len").alias("len")).join(new.select(*key).distinct(), key)
     # keys and classes are numbered, and the numbers fixed by the checkpoint
-    keys = settle(keys.withColumn("len", F.length("code")).withColumn("key", F.monotonically_increasing_id()))
+    keys = keep(keys.withColumn("key", F.monotonically_increasing_id()))
     sides = []
     for side in (old, new):
-        held = settle(side.join(keys, key).select("path", "key", "len"))
+        held = keep(side.drop("len").join(keys, key).select("path", "key", "len"))
         named = held.groupBy("path").agg(_set_name(F.xxhash64("key"), F.xxhash64(F.lit("second"), "key")).alias("name"))
         named = settle(named)
         classes = named.groupBy("name").agg(F.min("path").alias("first"), F.count("*").alias("n"))
@@ -130,7 +157,7 @@ def link_paths_by_content(old_src: DataFrame, new_src: DataFrame, largest: int |
     set of them. A pair of paths without another shared line then has the weight
     of its groups, which is decided by counting, not by forming the pair.
     """
-    old, new = settle(occurrences(old_src, largest)), settle(occurrences(new_src, largest))
+    old, new = keep(digested_occurrences(old_src, largest)), keep(digested_occurrences(new_src, largest))
     key = ["code", "k"]
     spread = lambda side, out: side.groupBy(*key).agg(F.count("*").alias(out))
     common = (
@@ -141,14 +168,14 @@ def link_paths_by_content(old_src: DataFrame, new_src: DataFrame, largest: int |
     named = lambda side, s: side.withColumnRenamed("path", f"{s}_path")
     if common.isEmpty():
         weights = (
-            named(old, "old").join(named(new, "new"), key)
-            .groupBy("old_path", "new_path").agg(F.sum(F.length("code")).alias("len"))
+            named(old, "old").join(named(new, "new").drop("len"), key)
+            .groupBy("old_path", "new_path").agg(F.sum("len").alias("len"))
         )
         return _unique_best(settle(weights), None, None, None)
     rare = lambda side: side.join(common, key, "left_anti")
     weights = (
-        named(rare(old), "old").join(named(rare(new), "new"), key)
-        .groupBy("old_path", "new_path").agg(F.sum(F.length("code")).alias("rare"))
+        named(rare(old), "old").join(named(rare(new), "new").drop("len"), key)
+        .groupBy("old_path", "new_path").agg(F.sum("len").alias("rare"))
     )
     old_group, new_group = _groups(old, common, "old"), _groups(new, common, "new")
     group_weight = settle(_group_weights(old, new, common, old_group, new_group))
@@ -175,10 +202,10 @@ def _group_weights(old: DataFrame, new: DataFrame, common: DataFrame,
                    old_group: DataFrame, new_group: DataFrame) -> DataFrame:
     def members(side: DataFrame, groups: DataFrame, s: str) -> DataFrame:
         one = groups.groupBy(f"{s}_group").agg(F.min(f"{s}_path").alias("path"))
-        return side.join(one, "path").join(common, ["code", "k"]).select(f"{s}_group", "code", "k")
+        return side.join(one, "path").join(common, ["code", "k"]).select(f"{s}_group", "code", "k", "len")
 
-    pairs = members(old, old_group, "old").join(members(new, new_group, "new"), ["code", "k"])
-    return pairs.groupBy("old_group", "new_group").agg(F.sum(F.length("code")).alias("common"))
+    pairs = members(old, old_group, "old").join(members(new, new_group, "new").drop("len"), ["code", "k"])
+    return pairs.groupBy("old_group", "new_group").agg(F.sum("len").alias("common"))
 
 
 def _unique_best(weights: DataFrame, old_group, new_group, group_weight) -> DataFrame:

@@ -8,7 +8,9 @@ gets a folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +34,46 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
 
 
+# Seconds between two collections of the driver's garbage.
+RELEASE_EVERY = 3.0
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffles and checkpoints of plans that nobody holds any more.
+
+    Else they stay until the driver happens to collect its garbage, and a long query fills the disk.
+    """
+    global _released
+    if time.monotonic() - _released < RELEASE_EVERY:
+        return
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _released = time.monotonic()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and continue from its reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """As :func:`settle`, for large tables: compressed columns in place of plain rows.
+
+    The files lie in the folder of an empty checkpoint that stays part of the plan, so they go
+    when that checkpoint does. Partitions are not those of ``df``.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    release(spark)
+    holder = spark.createDataFrame([], df.schema).checkpoint(eager=True)
+    folder = f"{holder._jdf.queryExecution().logical().rdd().getCheckpointFile().get()}/table"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder).unionByName(holder)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     whole = frames[0]
     for frame in frames[1:]:
