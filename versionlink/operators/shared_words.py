@@ -7,9 +7,10 @@ by the size of their lines, and a task counts the words of its tiles.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from versionlink.operators.pairing import weighed_tiles
 
@@ -100,11 +101,11 @@ def _weigh_bucket(codes: bool):
     return weigh
 
 
-def word_weights(old: DataFrame, new: DataFrame, block: list[str], codes: bool) -> DataFrame:
+def word_weights(old: DataFrame, new: DataFrame, block: list[str], plain: Callable[[Column], Column], codes: bool) -> DataFrame:
     """Line pairs of a block that share a word, with the share as ``len`` (length of shared words by longer code).
 
-    Rows have both ``codes``, or else the place of each among the sorted different codes of its line. Both sides have ``block`` (with ``old_path, new_path``), ``line``, ``codes`` (of the rows of a line), ``words``
-    (of each code, one space between them) and ``__weight``.
+    Rows have both ``codes``, or else the place of each among the sorted different codes of its line. Both sides have ``block`` (with ``old_path, new_path``), ``line``, ``codes`` (of the rows of a line)
+    and ``__weight``. ``plain`` gives the words of a code, one space between them; they are drawn where the codes have been moved to.
     """
     ends = [F.col("old_path").alias("__old_path"), F.col("new_path").alias("__new_path")]
     tiles, tasks = weighed_tiles(old.select("*", *ends), new.select("*", *ends), block, "__weight", TILE_WORK)
@@ -112,5 +113,6 @@ def word_weights(old: DataFrame, new: DataFrame, block: list[str], codes: bool)
     kind, shown = ("string", CODES) if codes else ("bigint", PLACES)
     schema = ", ".join(["old_path string, old_line bigint, new_path string, new_line bigint, len double", *[f"{c} {kind}" for c in shown]])
     bucket = F.pmod(F.xxhash64("__tile"), F.lit(buckets)).alias("bucket")
-    found = tiles.select(bucket, "*").groupBy("bucket").applyInArrow(_weigh_bucket(codes), schema)
+    moved = tiles.select(bucket, "*").repartition(buckets, "bucket").withColumn("words", F.transform("codes", plain))
+    found = moved.groupBy("bucket").applyInArrow(_weigh_bucket(codes), schema)
     return found.select("old_path", "old_line", "new_path", "new_line", *shown, "len")
