@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from versionlink.session import empty_like, settle, union_all
+from versionlink.session import empty_like, keep, settle, union_all
 
 # Rounds whose winners are only subtracted; then the open pairs are written anew.
 ROUNDS_PER_CUT = 4
@@ -84,13 +84,13 @@ def rounds_of_unique_best(pairs: DataFrame, left: list[str], right: list[str], t
     """Emit unique mutual best pairs, retire both sides, repeat until nothing is won."""
     if max_rounds == 1:
         return unique_mutual_best(pairs, left, right, tiers)
-    rest = settle(pairs)
+    rest = keep(pairs)
     won_parts: list[DataFrame] = []
     since_cut: list[DataFrame] = []
     while max_rounds is None or len(won_parts) < max_rounds:
         open_pairs = retire(rest, union_all(since_cut), left, right) if since_cut else rest
         if len(since_cut) >= ROUNDS_PER_CUT:
-            rest, since_cut = settle(open_pairs), []
+            rest, since_cut = keep(open_pairs), []
             open_pairs = rest
         won = settle(unique_mutual_best(open_pairs, left, right, tiers))
         if won.isEmpty():

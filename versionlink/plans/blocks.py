@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from versionlink.operators.assign import Tier, retire, unique_mutual_best
 from versionlink.plans.items import SCORES
-from versionlink.session import compact, settle, union_all
+from versionlink.session import compact, keep, settle, union_all
 
 OLD, NEW = ["old_fid", "old_bid"], ["new_fid", "new_bid"]
 BLOCKS = [*OLD, *NEW]
@@ -89,8 +89,8 @@ def link_blocks(old_node: DataFrame, new_node: DataFrame, old_edge: DataFrame, n
     opcode); successor votes and then predecessor votes on what those left; both
     votes together; all four item scores. It ends when none gives a link.
     """
-    seed = settle(link_blocks_by_hash(func_map, old_node, new_node))
-    rest = settle(retire(block_scores(ins_map), seed, OLD, NEW))
+    seed = keep(link_blocks_by_hash(func_map, old_node, new_node))
+    rest = keep(retire(block_scores(ins_map), seed, OLD, NEW))
     found, rounds = [seed], 0
 
     def take(pairs: DataFrame, *scores: str) -> bool:

@@ -12,7 +12,7 @@ from versionlink.queries import fixtures as fx
 from versionlink.queries.link import unique_rounds
 from versionlink.queries.registry import query
 from versionlink.queries.text import edit
-from versionlink.session import settle
+from versionlink.session import keep, settle
 from versionlink.sinks import block_rows, cross_rows
 
 
@@ -26,10 +26,10 @@ SIDES = f"""{fx.CFG},
 
 
 def _sides(spark: SparkSession, folder: str):
-    cfg = settle(fx.cfg(spark, folder))
+    cfg = keep(fx.cfg(spark, folder))
     old, new = _halves(cfg)
     func_map = old.select(F.col("fid").alias("old_fid")).distinct().withColumn("new_fid", F.col("old_fid") + 1)
-    func_map = settle(func_map.join(new.select(F.col("fid").alias("new_fid")).distinct(), "new_fid", "left_semi"))
+    func_map = keep(func_map.join(new.select(F.col("fid").alias("new_fid")).distinct(), "new_fid", "left_semi"))
     edge = lambda side: side.where("next_bid is not null").select(
         F.col("fid").alias("src_fid"), F.col("bid").alias("src_bid"), F.col("fid").alias("dst_fid"), F.col("next_bid").alias("dst_bid"))
     return old, new, edge(old), edge(new), func_map
@@ -63,7 +63,7 @@ def votes_sql(via: str, to: str) -> str:
 
 def _votes(spark: SparkSession, folder: str, via: str, to: str) -> DataFrame:
     old, new, old_edge, new_edge, func_map = _sides(spark, folder)
-    seed = settle(blocks.link_blocks_by_hash(func_map, old, new))
+    seed = keep(blocks.link_blocks_by_hash(func_map, old, new))
     return blocks.votes_beside_links(func_map, seed, old_edge, new_edge, via, to)
 
 
@@ -115,7 +115,7 @@ def _item_candidates(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey").alias("fid"), F.expr("l_linenumber div 3").alias("bid"), F.lit("f").alias("path"),
         (F.col("l_partkey") % 3).alias("line"), (F.col("l_orderkey") * 1000 + F.row_number().over(place)).alias("address"),
         F.concat(code, F.lit("\t"), operand).alias("instruction"))
-    old, new = _halves(settle(rows))
+    old, new = _halves(keep(rows))
     spot = lambda side, s: side.select(F.col("fid").alias(f"{s}_fid"), F.col("path").alias(f"{s}_path"), F.col("line").alias(f"{s}_line"),
                                         F.expr("fid div 2").alias("k"), F.col("line").alias("on")).distinct()
     links = spot(old, "old").join(spot(new, "new"), ["k", "on"]).drop("k", "on")
@@ -171,7 +171,7 @@ SCORED = f"""{HASHED}, {ITEMS}, {item_rounds(8)},
 
 def _scored_votes(spark: SparkSession, folder: str, via: str, to: str) -> DataFrame:
     old, new, old_edge, new_edge, func_map = _sides(spark, folder)
-    seed = settle(blocks.link_blocks_by_hash(func_map, old, new))
+    seed = keep(blocks.link_blocks_by_hash(func_map, old, new))
     scored = blocks.block_scores(items.link_items(_item_candidates(spark, folder)))
     return blocks.neighbour_votes(retire(scored, seed, blocks.OLD, blocks.NEW), seed, old_edge, new_edge, via, to)
 
@@ -190,7 +190,7 @@ def predecessor_votes_scored(spark: SparkSession, folder: str) -> DataFrame:
   with {SCORED}, {votes_sql('src', 'dst')} select * from (with
   {unique_rounds("v_dst", "old_fid,old_bid", "new_fid,new_bid", ["votes"], 1, "old_fid, old_bid, new_fid, new_bid")} select * from won)""")
 def link_by_votes_scored(spark: SparkSession, folder: str) -> DataFrame:
-    votes = settle(_scored_votes(spark, folder, "src", "dst"))
+    votes = keep(_scored_votes(spark, folder, "src", "dst"))
     return unique_mutual_best(votes, blocks.OLD, blocks.NEW, [Tier("votes")]).select(*blocks.BLOCKS)
 
 
@@ -319,7 +319,7 @@ def reachable_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def _projection(spark: SparkSession, folder: str):
     old, new, _, _, func_map = _sides(spark, folder)
-    seed = settle(blocks.link_blocks_by_hash(func_map, old, new))
+    seed = keep(blocks.link_blocks_by_hash(func_map, old, new))
     dead = seed.where("old_bid = 0").withColumn("new_bid", F.lit(-1).cast("bigint"))
     explicit = seed.where("old_bid <> 0").unionByName(dead)
     same = old.select(F.col("fid").alias("old_fid"), F.col("bid").alias("old_bid")).join(func_map, "old_fid").withColumn("new_bid", F.col("old_bid"))
@@ -369,7 +369,7 @@ def _greedy(rounds: int) -> str:
 def project_counts_unique(spark: SparkSession, folder: str) -> DataFrame:
     """Each old block once: by hash, else on the block of its own or the next number."""
     old, new, _, _, func_map = _sides(spark, folder)
-    seed = settle(blocks.link_blocks_by_hash(func_map, old, new))
+    seed = keep(blocks.link_blocks_by_hash(func_map, old, new))
     bids = lambda side, s: side.select(F.col("fid").alias(f"{s}_fid"), F.col("bid").alias(f"{s}_bid"))
     near = func_map.join(bids(old, "old"), "old_fid").join(bids(new, "new"), "new_fid").where("new_bid between old_bid and old_bid + 1").select(*seed.columns)
     counts = old.select(F.col("fid").alias("old_fid"), F.col("bid").alias("old_bid"), F.col("cnt").alias("count"))

@@ -68,7 +68,7 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     release(spark)
-    holder = spark.createDataFrame([], df.schema).checkpoint(eager=True)
+    holder = df.limit(0).checkpoint(eager=True)
     folder = f"{holder._jdf.queryExecution().logical().rdd().getCheckpointFile().get()}/table"
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder).unionByName(holder)
